@@ -1,8 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import mixing
+from . import bpe, gif, mixing, sharding
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op5_shards": sharding.op5_shards,
+    "op9_gif": gif.op9_gif,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
