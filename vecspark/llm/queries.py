@@ -1,14 +1,16 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, gif, mixing, sharding
+from . import bpe, gif, lines, mixing, sharding
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op5_shards": sharding.op5_shards,
     "op9_gif": gif.op9_gif,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
+    "op2_line_dedup": lines.OP2_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
