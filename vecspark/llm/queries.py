@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, gif, lines, mixing, sharding
+from . import bpe, gif, lines, mixing, sharding, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_line_dedup": lines.op2_line_dedup,
     "op5_shards": sharding.op5_shards,
+    "op8_simhash": simhash.op8_simhash,
     "op9_gif": gif.op9_gif,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
