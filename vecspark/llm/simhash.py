@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +42,10 @@ class WordHashes(dict):
         return value
 
     def of(self, text: str) -> np.ndarray:
-        words = text.encode().split()
+        return self.of_bytes(text.encode())
+
+    def of_bytes(self, text: bytes) -> np.ndarray:
+        words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -136,19 +138,22 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     cuts = at.agg(F.percentile_approx("at", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
     cuts = np.unique(np.array(cuts, np.int64))
 
-    @F.pandas_udf("int")
-    def bucket(ids):
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right").astype(np.int32))
+    def bucketed(rows: DataFrame) -> DataFrame:
+        def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.searchsorted(cuts, batch.column("at").to_numpy(), "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "bucket"])
+
+        return rows.mapInArrow(compute, T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())]))
 
-    at = at.withColumn("bucket", bucket("at"))
-    heads = sorted((r["bucket"], r["head"]) for r in at.groupBy("bucket").agg(F.min(F.struct("at", "text_key")).alias("head")).collect())
+    heads = sorted((r["bucket"], r["head"]) for r in bucketed(at.select("at", "text_key")).groupBy("bucket").agg(F.min(F.struct("at", "text_key")).alias("head")).collect())
     sent = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("peek")))
     if heads:
         before = F.create_map(*[F.lit(x) for k, (b, _) in enumerate(heads) for x in (b, heads[k - 1][0])])
         first = F.create_map(*[x for b, h in heads for x in (F.lit(b), F.struct(F.lit(h["at"]).alias("at"), F.lit(h["text_key"]).alias("text_key")))])
         is_head = first[F.col("bucket")] == F.struct("at", "text_key")
         sent = F.when(is_head, F.array_append(sent, F.struct(before[F.col("bucket")].alias("to"), F.lit(1).alias("peek")))).otherwise(sent)
-    dealt = at.select("at", "text_key", "text", F.explode(sent).alias("s")).select("s.to", "s.peek", "at", "text_key", "text")
+    dealt = bucketed(at).select("at", "text_key", "text", F.explode(sent).alias("s")).select("s.to", "s.peek", "at", "text_key", "text")
     return dealt.repartition(partitions(spark), "to").sortWithinPartitions("to", "peek", "at", "text_key")
 
 
