@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import bpe, gif, lines, mixing, sharding, simhash, toxicity
+from . import bpe, gif, jaccard, lines, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_shards": sharding.op5_shards,
     "op8_simhash": simhash.op8_simhash,
