@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,11 +90,13 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64, slack: float =
     row = F.monotonically_increasing_id()
     ring = stage(narrow.select("*", F.shiftright(row, 33).cast("int").alias("_part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")), "ring")
 
-    @F.pandas_udf("int")
-    def arc(spots):
-        return pd.Series(np.searchsorted(places, spots.to_numpy(np.int64)).astype(np.int32))
+    def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.stack([batch.column("_part").to_numpy(), np.searchsorted(places, batch.column("_spot").to_numpy())], 1)
+            found, count = np.unique(both, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1], pa.int32()), pa.array(count, pa.int64())], ["_part", "arc", "count"])
 
-    found = ring.groupBy("_part", arc("_spot").alias("arc")).count().collect()
+    found = ring.select("_part", "_spot").mapInArrow(arcs, "_part int, arc int, count long").groupBy("_part", "arc").agg(F.sum("count").alias("count")).collect()
     counts, offsets = np.zeros(len(places), np.int64), np.zeros(max((r["_part"] for r in found), default=0) + 2, np.int64)
     for r in found:
         counts[r["arc"]] += r["count"]
