@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -25,6 +26,8 @@ from .common import documents
 
 #: Entries that each of the two generations of a remembered table holds at most.
 REMEMBERED = 300_000
+#: Documents that a worker holds the ids of.
+ROWS_AT_ONCE = 256
 #: Longer pieces are encoded each time they occur.
 LONG_PIECE = 64
 
@@ -189,13 +192,13 @@ def _added(docs: DataFrame, new: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in docs.schema.fields if f.name not in names] + new)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, ids: bool = True, digests: bool = False) -> DataFrame:
     """The documents with ``n_tokens`` and the ids of their whole texts.
 
     ``path`` is a rank file; its content (of fixed size) is broadcast, so only
-    the driver reads it.  Without ``digests`` the column ``ids`` has the ids.
-    With ``digests`` the ids are decoded again where they are made, and
-    ``ids_sha256`` and ``decoded_sha256`` take the place of ``ids``.
+    the driver reads it.  With ``ids`` the column ``ids`` has the ids.  With
+    ``digests`` the ids are decoded again where they are made, and there are
+    ``ids_sha256`` and ``decoded_sha256``.
 
     A null text counts as empty: no ids, and the digests of nothing.  Every
     other column, null or not, stays as it is, except that ones named like a
@@ -204,26 +207,25 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
     """
     raw = docs.sparkSession.sparkContext.broadcast(open(path, "rb").read())
     new = [T.StructField("n_tokens", T.LongType())]
-    new += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digests else [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    new += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
+    new += [T.StructField(c, T.StringType()) for c in ("ids_sha256", "decoded_sha256")] if digests else []
     schema = _added(docs, new)
-    kept = [f.name for f in schema.fields][: -len(new)]
+    kept = schema.names[: -len(new)]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, split = _vocabulary(raw.value), regex.compile(pattern)
         written = {token: str(token) for token in vocabulary.bytes_of}
         for batch in batches:
-            counts, columns = [], [[] for _ in new[1:]]
-            for text in batch.column("text"):
-                ids = vocabulary.encode(text.as_py() or "", split)
-                counts.append(len(ids))
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                found = [vocabulary.encode(text.as_py() or "", split) for text in part.column("text")]
+                added = [pa.array([len(x) for x in found], pa.int64())]
+                if ids:
+                    added.append(pa.array([np.array(x, np.int32) for x in found], pa.list_(pa.int32())))
                 if digests:
-                    columns[0].append(hashlib.sha256(" ".join(map(written.__getitem__, ids)).encode()).hexdigest())
-                    columns[1].append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
-                else:
-                    columns[0].append(ids)
-            kinds = [pa.string()] * 2 if digests else [pa.list_(pa.int32())]
-            arrays = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64())] + [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
+                    added.append(pa.array([hashlib.sha256(" ".join(map(written.__getitem__, x)).encode()).hexdigest() for x in found]))
+                    added.append(pa.array([hashlib.sha256(vocabulary.decode(x)).hexdigest() for x in found]))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + added, schema.names)
 
     return docs.mapInArrow(encode, schema)
 
@@ -245,5 +247,5 @@ def decode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digests=True)
+    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=False, digests=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
