@@ -243,25 +243,34 @@ def build(sharded: DataFrame, m: int = 16, ef_build: int = 200, metric: str = "l
     return sharded.select("shard", "vec_id", "embedding").groupBy("shard").applyInArrow(one, "shard int, n long, graph binary")
 
 
-def search_shards(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = 50) -> DataFrame:
-    """``query_id, rank, vec_id, dist``: every shard is searched for every query of a block, the results merged."""
-    return top_k(_searched(graphs.withColumn("asked", F.lit(None).cast("array<long>")), queries, k, ef), k).select("query_id", "rank", "vec_id", "dist")
+def search_shards(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = 50, allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, dist``: every shard is searched for every query of a block, the results merged.
+
+    ``allowed`` (shard, vec_id), if given, has the only vectors to be found;
+    the walk leads through the others all the same.
+    """
+    graphs = graphs.withColumn("asked", F.lit(None).cast("array<long>"))
+    if allowed is not None:
+        graphs = graphs.join(allowed.groupBy("shard").agg(F.collect_list("vec_id").alias("allowed")), "shard")
+    return top_k(_searched(graphs, queries, k, ef), k).select("query_id", "rank", "vec_id", "dist")
 
 
 def _searched(graphs: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFrame:
-    """Results within each shard, for the queries in ``asked`` (null: all)."""
+    """Results within each shard, for the queries in ``asked`` (null: all), of the vectors in ``allowed`` (no such column: all)."""
     table = queries.select("query_id", "q").toArrow()
     spread = graphs.sparkSession.sparkContext.broadcast(dict(zip(table.column("query_id").to_pylist(), table.column("q").to_pylist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, asked in zip(batch.column("graph"), batch.column("asked")):
+            allowed = batch.column("allowed").to_pylist() if "allowed" in batch.schema.names else [None] * batch.num_rows
+            for data, asked, only in zip(batch.column("graph"), batch.column("asked"), allowed):
                 graph, asked = Graph.loaded(data.as_py()), asked.as_py()
-                rows = [(query, label, d) for query in (spread.value if asked is None else asked) for d, label in graph.search(spread.value[query], k, ef)]
+                keep = None if only is None else set(only).__contains__
+                rows = [(query, label, d) for query in (spread.value if asked is None else asked) for d, label in graph.search(spread.value[query], k, ef, keep)]
                 columns = list(zip(*rows)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "dist"])
 
-    return graphs.select("graph", "asked").mapInArrow(run, "query_id long, vec_id long, dist double")
+    return graphs.select("graph", "asked", *[c for c in graphs.columns if c == "allowed"]).mapInArrow(run, "query_id long, vec_id long, dist double")
 
 
 def search_lists(graphs: DataFrame, queries: DataFrame, centroids: kmeans.Centroids, k: int = 10, nprobe: int = 10, ef: int = 50, base: DataFrame | None = None, factor: int = 3) -> DataFrame:
