@@ -249,3 +249,20 @@ def test_sums(spark, n):
     assert linalg.total_by_folding(ones, n, 5).first()["total"] == (1 if n == 1 else -1)
     got = {r["i"]: r["out"] for r in linalg.multiply(linalg.vector(spark, n), linalg.matrix(spark, n)).collect()}
     assert got == {i: sum(j * (i + j) for j in range(n)) for i in range(n)}
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    from vecspark.operators import sizes
+
+    x, q = blobs(200, 6)
+    base, queries = frame(spark, x), asked(spark, q)
+    whole, coded = lists(flat.knn(base, queries, 4, "l2")), pq.train(base, 2, 8, 1)
+    by_code = lists(pq.search(pq.encode(base, coded), base, queries, coded, 4))
+    graphs = hnsw.build(hnsw.shard_in_turn(base, 2), 8, 40)
+    by_graph = lists(hnsw.search_shards(graphs, queries, 4, 60))
+    monkeypatch.setattr(sizes, "SENT_BYTES", 8 * 1024 * 11)
+    monkeypatch.setattr(flat, "QUERY_BLOCK", 13)
+    assert len(sizes.blocks(queries, 8 * 6, 13)) == 4
+    assert lists(flat.knn(base, queries, 4, "l2")) == lists(flat.knn_blocks(base, queries, 4, "l2", 7)) == whole
+    assert lists(pq.search(pq.encode(base, coded), base, queries, coded, 4)) == by_code
+    assert lists(hnsw.search_shards(graphs, queries, 4, 60)) == by_graph

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from . import ivf, kmeans
+from .sizes import blocks, union
 from .topk import top_k
 
 #: Vectors that a shard's graph should hold at most.
@@ -257,6 +258,9 @@ def search_shards(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int =
 
 def _searched(graphs: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFrame:
     """Results within each shard, for the queries in ``asked`` (null: all), of the vectors in ``allowed`` (no such column: all)."""
+    parts = blocks(queries, 8 * 1024)
+    if len(parts) > 1:
+        return union([_searched(graphs, part, k, ef) for part in parts])
     table = queries.select("query_id", "q").toArrow()
     spread = graphs.sparkSession.sparkContext.broadcast(dict(zip(table.column("query_id").to_pylist(), table.column("q").to_pylist())))
 
@@ -266,7 +270,8 @@ def _searched(graphs: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFra
             for data, asked, only in zip(batch.column("graph"), batch.column("asked"), allowed):
                 graph, asked = Graph.loaded(data.as_py()), asked.as_py()
                 keep = None if only is None else set(only).__contains__
-                rows = [(query, label, d) for query in (spread.value if asked is None else asked) for d, label in graph.search(spread.value[query], k, ef, keep)]
+                wanted = spread.value if asked is None else [query for query in asked if query in spread.value]
+                rows = [(query, label, d) for query in wanted for d, label in graph.search(spread.value[query], k, ef, keep)]
                 columns = list(zip(*rows)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "dist"])
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import distance as D
 from . import kmeans
-from .sizes import sent
+from .sizes import blocks, sent, union
 from .topk import top_k
 
 
@@ -138,9 +138,10 @@ def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, m
 
 
 def scores(codes: DataFrame, queries: DataFrame, book: Codebook) -> DataFrame:
-    """One minus the looked-up inner product, for each code and each of a block of queries."""
-    asked = tables(queries, book).select("query_id", "lut")
-    return codes.select("vec_id", "code").crossJoin(F.broadcast(asked)).select("query_id", "vec_id", (F.lit(1.0) - looked_up(F.col("lut"), F.col("code"))).alias("dist"))
+    """One minus the looked-up inner product, for each code and each query; tables are sent to the codes in blocks of bounded size."""
+    parts = blocks(queries, 8 * book.m * len(book.words[0]))
+    pairs = union([codes.select("vec_id", "code").crossJoin(F.broadcast(tables(part, book).select("query_id", "lut"))) for part in parts])
+    return pairs.select("query_id", "vec_id", (F.lit(1.0) - looked_up(F.col("lut"), F.col("code"))).alias("dist"))
 
 
 def search(codes: DataFrame, base: DataFrame, queries: DataFrame, book: Codebook, k: int = 10, candidates: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import distance as D
 from .operators import evaluate, flat, hnsw, hybrid, ivf, kmeans, linalg, mutable, pq
+from .operators.sizes import blocks, union
 from .plans import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,7 +192,8 @@ def ground_truth_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, queries = _both(spark, sf_dir)
     a, b = F.col("q"), F.col("embedding")
-    return base.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(D.inner_product(a, b), 6).alias("ip"), F.round(D.squared_l2(a, b), 6).alias("l2"), F.round(D.cosine(a, b), 6).alias("cosine"))
+    pairs = union([base.crossJoin(F.broadcast(part)) for part in blocks(queries, 8 * 64)])
+    return pairs.select("query_id", "vec_id", F.round(D.inner_product(a, b), 6).alias("ip"), F.round(D.squared_l2(a, b), 6).alias("l2"), F.round(D.cosine(a, b), 6).alias("cosine"))
 
 
 def _elements(df: DataFrame, *keys: str, vector: str) -> DataFrame:
@@ -366,7 +368,8 @@ def pq_rerank_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pq.encode(_base(spark, sf_dir), _book(spark, sf_dir)).select("vec_id", "code")
     asked = coded.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("code").alias("other"))
-    return coded.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", D.hamming(F.col("code"), F.col("other")).alias("dist"))
+    pairs = union([coded.crossJoin(F.broadcast(part)) for part in blocks(asked, 2 * M)])
+    return pairs.select("query_id", "vec_id", D.hamming(F.col("code"), F.col("other")).alias("dist"))
 
 
 # Inverted lists of codes

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import distance as D
-from ..operators import mutable
+from ..operators import flat, mutable
 
 
 def upserts(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -31,8 +30,6 @@ def knn_of_stream(base: DataFrame, k: int, metric: str | D.Distance = "ip") -> C
     """A function for ``foreachBatch`` that finds the k closest vectors of ``base`` for each arriving query (query_id, q)."""
 
     def search(batch: DataFrame, number: int) -> DataFrame:
-        scored = base.select("vec_id", "embedding").crossJoin(F.broadcast(batch.select("query_id", "q"))).withColumn("dist", D.metric(metric)(F.col("q"), F.col("embedding")))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id")))
-        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "dist")
+        return flat.knn(base, batch, k, metric)
 
     return search
