@@ -266,3 +266,30 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     assert lists(flat.knn(base, queries, 4, "l2")) == lists(flat.knn_blocks(base, queries, 4, "l2", 7)) == whole
     assert lists(pq.search(pq.encode(base, coded), base, queries, coded, 4)) == by_code
     assert lists(hnsw.search_shards(graphs, queries, 4, 60)) == by_graph
+
+
+def test_walks_with_own_ends():
+    x, q = blobs(900, 6, 8, 30)
+    graph = hnsw.Graph(6, 12, 100)
+    for k, row in enumerate(x):
+        graph.add(k, row)
+    far = ((q[:, None].astype(float) - x[None]) ** 2).sum(2)
+    hit = wanted = 0
+    for row, values in zip(q, far):
+        radius = np.partition(values, 25)[25]
+        got = {i for _, i in graph.search_until(row, hnsw.Within(radius, 100, 400))}
+        want = set(np.flatnonzero(values <= radius).tolist())
+        assert got <= want
+        hit, wanted = hit + len(got), wanted + len(want)
+    assert hit > 0.95 * wanted
+    doc_of = {k: k % 40 for k in range(900)}
+    good = 0
+    for row, values in zip(q, far):
+        got = [i for _, i in graph.search_until(row, hnsw.Documents(doc_of, 5, 15))]
+        order = np.argsort(values, kind="stable").tolist()
+        n = next(k for k in range(900) if len({doc_of[i] for i in order[: k + 1]}) > 5)
+        assert len({doc_of[i] for i in got}) == 5
+        good += len(set(got) & set(order[:n])) / n
+    assert good / len(q) > 0.95 and graph.hops > 0 and graph.measured > graph.hops
+    odd = graph.search_until(q[0], hnsw.Within(1e9, 900, 900), lambda label: label % 2 == 1)
+    assert len(odd) == 450 and all(label % 2 for _, label in odd)

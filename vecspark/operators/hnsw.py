@@ -26,8 +26,98 @@ from .topk import top_k
 SHARD_ROWS = 20_000
 
 
+class Stop:
+    """When a walk over a graph ends, and what it keeps; subclasses decide.
+
+    The walk tells of every vector that it keeps or lets go, and asks before it
+    goes on from a candidate, before it keeps one, and while it may hold too many.
+    """
+
+    def added(self, label: int, far: float) -> None:
+        """A vector is kept."""
+
+    def removed(self, label: int, far: float) -> None:
+        """The farthest vector is let go."""
+
+    def ends(self, nearest: float, farthest: float) -> bool:
+        """Whether to end, the nearest candidate and the farthest kept vector being so far."""
+        raise NotImplementedError
+
+    def wants(self, far: float, farthest: float) -> bool:
+        """Whether to keep a vector."""
+        raise NotImplementedError
+
+    def overfull(self) -> bool:
+        """Whether the farthest kept vector has to go."""
+        raise NotImplementedError
+
+    def chosen(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        """The result, of what was kept, closest first."""
+        return found
+
+
+class Within(Stop):
+    """All vectors within a radius, ``most`` at most; at least ``least`` are looked at."""
+
+    def __init__(self, radius: float, least: int, most: int):
+        self.radius, self.least, self.most, self.kept = radius, least, most, 0
+
+    def added(self, label: int, far: float) -> None:
+        self.kept += 1
+
+    def removed(self, label: int, far: float) -> None:
+        self.kept -= 1
+
+    def ends(self, nearest: float, farthest: float) -> bool:
+        return (nearest > farthest and self.kept >= self.most) or (nearest > self.radius and self.kept >= self.least)
+
+    def wants(self, far: float, farthest: float) -> bool:
+        return self.kept < self.most or far < farthest
+
+    def overfull(self) -> bool:
+        return self.kept > self.most
+
+    def chosen(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        return [x for x in found if x[0] <= self.radius][: self.most]
+
+
+class Documents(Stop):
+    """The closest vectors of ``documents`` documents; ``doc_of`` has each label's document, ``wide`` more documents are looked at."""
+
+    def __init__(self, doc_of: dict[int, int], documents: int, wide: int = 10):
+        self.doc_of, self.documents, self.wide = doc_of, documents, max(wide, documents)
+        self.vectors: dict[int, int] = {}
+
+    def added(self, label: int, far: float) -> None:
+        doc = self.doc_of[label]
+        self.vectors[doc] = self.vectors.get(doc, 0) + 1
+
+    def removed(self, label: int, far: float) -> None:
+        doc = self.doc_of[label]
+        self.vectors[doc] -= 1
+        if not self.vectors[doc]:
+            del self.vectors[doc]
+
+    def ends(self, nearest: float, farthest: float) -> bool:
+        return nearest > farthest and len(self.vectors) >= self.wide
+
+    def wants(self, far: float, farthest: float) -> bool:
+        return len(self.vectors) < self.wide or far < farthest
+
+    def overfull(self) -> bool:
+        return len(self.vectors) > self.wide
+
+    def chosen(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        docs: set[int] = set()
+        for k, (_, label) in enumerate(found):
+            docs.add(self.doc_of[label])
+            if len(docs) > self.documents:
+                return found[:k]
+        return found
+
+
 class Graph:
-    """A graph over vectors with labels."""
+    """A graph over vectors with labels; ``measured`` counts distances, ``hops`` the nodes that walks went on from."""
 
     def __init__(self, dim: int, m: int = 16, ef_build: int = 200, metric: str = "l2", seed: int = 100):
         self.m, self.ef_build, self.metric = m, max(ef_build, m), metric
@@ -38,7 +128,7 @@ class Graph:
         self.entry = -1
         self.deleted: set[int] = set()
         self.place: dict[int, int] = {}
-        self.measured = 0
+        self.measured = self.hops = 0
 
     def __len__(self) -> int:
         return len(self.labels)
@@ -80,6 +170,7 @@ class Graph:
             d, node = heapq.heappop(waiting)
             if len(kept) >= ef and d > -kept[0][0]:
                 break
+            self.hops += 1
             new = [x for x in self.links[node][level] if x not in seen]
             if not new:
                 continue
@@ -167,6 +258,36 @@ class Graph:
         found = self._beam(q, [self._descend(q, 0)], 0, max(ef, k), keep)
         return sorted((d, self.labels[x]) for d, x in found)[:k]
 
+    def search_until(self, q: Iterable[float], stop: Stop, allowed: Callable[[int], bool] | None = None) -> list[tuple[float, int]]:
+        """``(distance, label)``, closest first, of a walk that ``stop`` ends."""
+        if self.entry < 0:
+            return []
+        q = self._prepared(q)
+        start = self._descend(q, 0)
+        waiting, kept, seen = [(float(self.far(q, [start])[0]), start)], [], {start}
+
+        def keep(far: float, node: int) -> None:
+            if node not in self.deleted and (allowed is None or allowed(self.labels[node])):
+                heapq.heappush(kept, (-far, node))
+                stop.added(self.labels[node], far)
+                while kept and stop.overfull():
+                    gone, x = heapq.heappop(kept)
+                    stop.removed(self.labels[x], -gone)
+
+        keep(*waiting[0])
+        while waiting:
+            far, node = heapq.heappop(waiting)
+            if kept and stop.ends(far, -kept[0][0]):
+                break
+            self.hops += 1
+            new = [x for x in self.links[node][0] if x not in seen]
+            seen.update(new)
+            for d, x in zip(self.far(q, new).tolist() if new else [], new):
+                if not kept or stop.wants(d, -kept[0][0]):
+                    heapq.heappush(waiting, (d, x))
+                    keep(d, x)
+        return stop.chosen(sorted((-d, self.labels[x]) for d, x in kept))
+
     def within(self, q: Iterable[float], radius: float, least: int = 64, most: int | None = None) -> list[tuple[float, int]]:
         """Vectors within ``radius``: the beam widens until its edge lies beyond, ``least`` wide at the start."""
         ef = least
