@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, held, in_arrow
 
 #: Entries that each of the two generations of a remembered table holds at most.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Documents that a worker holds the ids of.
 ROWS_AT_ONCE = 256
 #: Longer pieces are encoded each time they occur.
@@ -176,15 +176,9 @@ class Prefixes:
         return len(last) - begin
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def _vocabulary(raw: bytes) -> Vocabulary:
     """The vocabulary of a rank file's content; a worker builds it once."""
-    name = hashlib.sha256(raw).hexdigest()
-    if name not in _vocabularies:
-        _vocabularies[name] = Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())})
-    return _vocabularies[name]
+    return held("bpe " + hashlib.sha256(raw).hexdigest(), lambda: Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}))
 
 
 def _added(docs: DataFrame, new: list[T.StructField]) -> T.StructType:
@@ -227,7 +221,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
                     added.append(pa.array([hashlib.sha256(vocabulary.decode(x)).hexdigest() for x in found]))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + added, schema.names)
 
-    return docs.mapInArrow(encode, schema)
+    return docs.transform(in_arrow, encode, schema)
 
 
 def decode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -242,7 +236,7 @@ def decode_documents(docs: DataFrame, path: str) -> DataFrame:
             decoded = [None if ids is None else vocabulary.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(decoded, pa.binary())], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(decode, schema)
+    return docs.transform(in_arrow, decode, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

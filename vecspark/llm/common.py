@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that are sent to a Python worker at a time: texts may be long.
+BATCH_BYTES = 4 << 20
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -33,15 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs its running tasks only, and
-    what was written is read back by any other one.
+    what was written is read back by any other one.  With ``few``, for tables
+    that are much smaller than the texts, no more files are written than there
+    are cores.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +71,18 @@ def small(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if staged_bytes(df) <= limit else df
 
 
+def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES`` bytes or one row.
+
+    The setting is the session's, as it counts when the query runs; it is only
+    ever lowered.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(work, schema)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
@@ -71,3 +90,32 @@ def n_words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """A table that a Python worker keeps from one task to the next.
+
+    A worker holds one table at a time: asking for another one lets the first
+    go.  Memory that earlier tasks no longer use goes back to the system.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    return _held[name]
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one, so that none meets a working column of the same name."""
+    return docs.select(*needed, F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in needed]).alias("_others"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *new: str) -> DataFrame:
+    """The columns of the table before it was packed, less those named like a new one, and the new ones."""
+    others = rows.schema["_others"].dataType.names
+    return rows.select(*[F.col("_others")[c].alias(c) if c in others else rows[c] for c in columns if c not in new], *new)

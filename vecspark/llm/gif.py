@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, in_arrow
 
 MOST_CODES = 4096
 WIDTH = 64
@@ -272,7 +272,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 added = [pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in schema.names[:-2]] + added, schema.names)
 
-    return docs.mapInArrow(store, schema)
+    return docs.transform(in_arrow, store, schema)
 
 
 def frames(media: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def frames(media: DataFrame) -> DataFrame:
                 kept = [batch.column(c).slice(k, 1).take(pa.array([0] * len(rows), pa.int64())) for c in schema.names[: -len(new)]]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 7, kinds)], schema.names)
 
-    return media.mapInArrow(read, schema)
+    return media.transform(in_arrow, read, schema)
 
 
 def media_columns(media: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def media_columns(media: DataFrame) -> DataFrame:
             added = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 6, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in schema.names[:-6]] + added, schema.names)
 
-    return media.mapInArrow(digest, schema)
+    return media.transform(in_arrow, digest, schema)
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small, stage
+from .common import documents, held, in_arrow, partitions, small, stage
 from .components import connected_components
 from .simhash import WordHashes, mixed
 
@@ -71,7 +71,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, n, set, prefix``: size and hash of each document's set, and its longest prefix."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for batch in batches:
             ns, keys, prefixes = [], [], []
             for text in batch.column("text"):
@@ -82,7 +82,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 prefixes.append(found[: _prefix(n, percent) + _longest(n) - 1].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "set", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, n long, set long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, compute, "doc_id long, n long, set long, prefix array<long>")
 
 
 def choose_length(n: int, ranks: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, int]:
@@ -124,7 +124,7 @@ def _prefixes(met: DataFrame, percent: int) -> DataFrame:
                 rows.append((key, n, l, upto, common, crowded, tokens[within & rare], tokens[within & ~rare] if crowded else tokens[:0]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
 
-    return met.mapInArrow(compute, "set long, n long, l long, upto long, common long, crowded boolean, tokens array<long>, crowd array<long>")
+    return met.transform(in_arrow, compute, "set long, n long, l long, upto long, common long, crowded boolean, tokens array<long>, crowd array<long>")
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:
@@ -150,14 +150,14 @@ def _whole(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), F.col("doc_id") == F.col("wanted_id")).select("wanted", "copies", "cluster", "text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for batch in batches:
             found = [shingles(hashes.of_bytes((t.as_py() or "").encode().lower()), words).tobytes() for t in batch.column("text")]
             own = pa.array([x.as_py() == xxhash.xxh3_64_intdigest(f) - (1 << 63) for x, f in zip(batch.column("wanted"), found)], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column("wanted"), batch.column("copies"), batch.column("cluster"), pa.array(found, pa.binary())], ["set", "copies", "cluster", "hashes"])
             yield out.filter(own)
 
-    return rows.mapInArrow(compute, "set long, copies long, cluster long, hashes binary").dropDuplicates(["set"])
+    return rows.transform(in_arrow, compute, "set long, copies long, cluster long, hashes binary").dropDuplicates(["set"])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select(["set_a", "set_b", "copies_a", "copies_b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(compute, "set_a long, set_b long, copies_a long, copies_b long")
+    return both.transform(in_arrow, compute, "set_a long, set_b long, copies_a long, copies_b long")
 
 
 def block_links(own: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -223,10 +223,14 @@ def _crowded_links(whole: DataFrame, percent: int) -> DataFrame:
     """Links among crowded sets: rows ``u, v`` of a spanning forest, and rows ``u`` with its number ``links`` of linked documents (v null)."""
     spark = whole.sparkSession
     sizes = whole.select("set", "cluster", (F.length("hashes") / 8).cast("long").alias("n"))
-    by_size = Window.partitionBy("cluster").orderBy("n", "set")
-    sizes = sizes.withColumn("by_count", F.floor((F.row_number().over(by_size) - 1) / BLOCK)).withColumn("by_size", F.floor(F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK_SHINGLES))
-    sizes = stage(sizes.withColumn("block", F.xxhash64("cluster", "by_count", "by_size")), "jaccard-blocks")
-    blocks = stage(sizes.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-spans")
+    #: places in order of size, from the number of sets of each size: no task puts a whole cluster in order
+    below = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    counts = sizes.groupBy("cluster", "n").agg(F.count("*").alias("sets"))
+    counts = counts.withColumn("before", F.sum("sets").over(below) - F.col("sets")).withColumn("shingles_before", F.sum(F.col("sets") * F.col("n")).over(below) - F.col("sets") * F.col("n"))
+    among = F.floor(F.pmod(F.xxhash64("set"), F.lit(1 << 20)) * F.col("sets") / F.lit(1 << 20))
+    sizes = sizes.join(counts, ["cluster", "n"]).withColumn("by_count", F.floor((F.col("before") + among) / BLOCK)).withColumn("by_size", F.floor((F.col("shingles_before") + among * F.col("n")) / BLOCK_SHINGLES))
+    sizes = stage(sizes.withColumn("block", F.xxhash64("cluster", "by_count", "by_size")).select("set", "cluster", "n", "block"), "jaccard-blocks", few=True)
+    blocks = stage(sizes.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-spans", few=True)
     a, b = (blocks.toDF("cluster", f"block_{s}", f"low_{s}", f"high_{s}") for s in "ab")
     fits = (100 * F.col("high_a") >= percent * F.col("low_b")) & ((F.col("low_a") < F.col("low_b")) | ((F.col("low_a") == F.col("low_b")) & (F.col("block_a") <= F.col("block_b"))))
     tasks = a.join(b, "cluster").where(fits).select("block_a", "block_b", F.xxhash64("block_a", "block_b").alias("task"))
@@ -276,7 +280,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.where("doc_id is not null")
     sets = stage(_sets(docs, words, percent), "jaccard-sets")
     members = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    members = stage(members, "jaccard-classes")
+    members = stage(members, "jaccard-classes", few=True)
     distinct = stage(sets.where("n > 0").select("set", "n", "prefix").dropDuplicates(["set"]), "jaccard-prefixes")
     tokens = distinct.select("set", "n", F.posexplode("prefix").alias("rank", "token"))
     shared = stage(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "jaccard-shared")
@@ -289,13 +293,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = connected_components(firsts.select(F.col("token").alias("u"), F.col("first").alias("v")).distinct())
     crowd = crowd.select("set", F.array_min("crowd").alias("node")).join(named, "node", "left").select("set", F.coalesce("component", "node").alias("cluster"))
     wanted = pairs.select(F.col("set_a").alias("set")).union(pairs.select(F.col("set_b").alias("set"))).union(crowd.select("set")).distinct()
-    wanted = stage(wanted.join(crowd, "set", "left").join(members, "set").select("set", "doc_id", "copies", "cluster"), "jaccard-wanted")
+    wanted = stage(wanted.join(crowd, "set", "left").join(members, "set").select("set", "doc_id", "copies", "cluster"), "jaccard-wanted", few=True)
     whole = stage(_whole(docs, wanted, words), "jaccard-whole")
 
-    links = stage(_verified(pairs, whole, percent), "jaccard-links")
+    links = stage(_verified(pairs, whole, percent), "jaccard-links", few=True)
     crowded = stage(_crowded_links(whole.where("cluster is not null"), percent), "jaccard-crowded")
     edges = links.select(F.col("set_a").alias("u"), F.col("set_b").alias("v")).union(crowded.where("v is not null").select("u", "v"))
-    component = stage(connected_components(edges), "jaccard-components")
+    component = stage(connected_components(edges), "jaccard-components", few=True)
 
     #: a pair of crowded sets may have been verified both ways; its links count once
     in_crowd = whole.where("cluster is not null").select("set", "cluster")
@@ -306,7 +310,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = members.join(component.withColumnRenamed("node", "set"), "set", "left").join(degree, "set", "left")
     classes = classes.select("set", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "set").alias("component"))
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    classes = stage(classes.join(least, "component").select("set", "n_links", "component_id"), "jaccard-named")
+    classes = stage(classes.join(least, "component").select("set", "n_links", "component_id"), "jaccard-named", few=True)
     out = sets.select("doc_id", "n", "set").join(small(classes), "set", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -22,10 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, small, stage
+from .common import documents, n_words, packed, small, stage, unpacked
 
 #: Rows that a bucket of a source's queue should hold at most, about.
-BUCKET_ROWS = 16384
+BUCKET_ROWS = 2048
 
 
 def _queue_key(docs: DataFrame) -> Column:
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     are in the same place of a queue, and are taken alike.  An empty table
     gives an empty result.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
+    columns, docs = docs.columns, packed(docs, "doc_id", "source", "text")
     queued = stage(docs.select("source", n_words(docs["text"]).alias("size"), _queue_key(docs).alias("key")), "mix-queue")
     rows = queued.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))
@@ -82,10 +82,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     bucket = F.substring("key", 1, digits)
     summed = queued.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     sources = summed.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    goal = stage(targets(sources, weights, share, repeats), "mix-targets")
+    goal = stage(targets(sources, weights, share, repeats), "mix-targets", few=True)
     starts = summed.withColumn("start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bucket_size"))
     starts = starts.join(small(goal).withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source", "bucket_size")
-    starts = stage(starts, "mix-starts").withColumnsRenamed({"source": "start_source", "bucket": "start_bucket"})
+    starts = stage(starts, "mix-starts", few=True).withColumnsRenamed({"source": "start_source", "bucket": "start_bucket"})
 
     #: one row for each place of a queue, with its running sum
     run = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
@@ -114,12 +114,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     ends = places.groupBy(F.col("at.rank").alias("end_rank"), F.col("at.copy").alias("copy")).agg(F.max("at.key").alias("end"))
     ends = ends.groupBy("end_rank").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     plan = goal.join(ends, goal["rank"] == ends["end_rank"], "left")
-    plan = stage(plan.select(F.col("source").alias("plan_source"), "source_size", "target", F.coalesce("ends", F.array().cast("array<string>")).alias("plan_ends")), "mix-plan")
+    plan = stage(plan.select(F.col("source").alias("plan_source"), "source_size", "target", F.coalesce("ends", F.array().cast("array<string>")).alias("plan_ends")), "mix-plan", few=True)
 
     out = docs.withColumn("size", n_words(docs["text"])).withColumn("plan_key", _queue_key(docs))
     out = out.join(small(plan), out["source"].eqNullSafe(F.col("plan_source")), "left")
     copies = F.when(F.col("size") > 0, F.size(F.filter("plan_ends", lambda e: e >= F.col("plan_key")))).otherwise(0)
-    return out.withColumn("copies", copies).drop("plan_source", "plan_ends", "plan_key")
+    return unpacked(out.withColumn("copies", copies), columns, "size", "source_size", "target", "copies")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

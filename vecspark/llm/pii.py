@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small, stage
+from .common import documents, packed, small, stage, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: The forms of the kinds.  Matches are leftmost, longest, and don't overlap
@@ -136,16 +136,16 @@ def scored_patterns(links: DataFrame, known: DataFrame) -> DataFrame:
 
 def _bootstrap(mentions: DataFrame) -> DataFrame:
     """``value, kind`` of the values found through patterns, beyond the seeds."""
-    links = stage(mentions.select(F.explode("patterns").alias("pattern"), "value").distinct(), "pii-links")
-    seeds = stage(mentions.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "pii-seeds")
+    links = stage(mentions.select(F.explode("patterns").alias("pattern"), "value").distinct(), "pii-links", few=True)
+    seeds = stage(mentions.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")), "pii-seeds", few=True)
     new = None
     for _ in range(ROUNDS):
         known = seeds if new is None else seeds.unionByName(new)
-        trusted = stage(scored_patterns(links, known), "pii-patterns")
+        trusted = stage(scored_patterns(links, known), "pii-patterns", few=True)
         found = links.join(small(trusted), "pattern").join(seeds.select("value"), "value", "left_anti")
         found = found.groupBy("value", "kind").agg((1 - F.product(1 - F.col("confidence"))).alias("belief"))
         best = found.groupBy("value").agg(F.max(F.struct("belief", -F.col("kind"))).alias("best")).select("value", (-F.col("best.col2")).alias("kind"))
-        before, new = 0 if new is None else new.count(), stage(best, "pii-found")
+        before, new = 0 if new is None else new.count(), stage(best, "pii-found", few=True)
         if new.count() == before:
             break
     return new
@@ -160,22 +160,22 @@ def find(docs: DataFrame) -> DataFrame:
     text get equal spans, null ids too.  Other columns stay, except one named
     ``spans``.  An empty table gives an empty result.
     """
+    columns, docs = docs.columns, packed(docs, "doc_id", "text")
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.withColumn("text_key", text_key).withColumn("base", F.coalesce(_base(F.col("text")), F.array().cast(SPANS)))
     rows = rows.withColumn("others", F.coalesce(_others(F.col("text"), F.col("base")), F.array().cast(SPANS)))
     mention = F.transform(F.concat("base", "others"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value"), _patterns(F.col("text"), m).alias("patterns")))
-    kept = [c for c in docs.columns if c not in ("text", "spans")]
-    rows = stage(rows.withColumn("mentions", mention).select(*kept, "text_key", "mentions"), "pii-documents")
+    rows = stage(rows.withColumn("mentions", mention).select("doc_id", "_others", "text_key", "mentions"), "pii-documents")
     mentions = rows.select("doc_id", "text_key", F.explode("mentions").alias("m")).select("doc_id", "text_key", "m.*")
     values = _bootstrap(mentions).withColumnRenamed("kind", "found_kind")
     more = mentions.where("kind is null").join(small(values), "value").groupBy("doc_id", "text_key")
-    more = stage(more.agg(F.collect_set(F.struct(F.col("found_kind").alias("kind"), "start", "end", F.lit(False).alias("base"))).alias("more")).withColumnsRenamed({"doc_id": "more_id", "text_key": "more_key"}), "pii-more")
+    more = stage(more.agg(F.collect_set(F.struct(F.col("found_kind").alias("kind"), "start", "end", F.lit(False).alias("base"))).alias("more")).withColumnsRenamed({"doc_id": "more_id", "text_key": "more_key"}), "pii-more", few=True)
     base = F.transform(F.filter("mentions", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit(True).alias("base")))
     out = rows.join(small(more), F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("text_key") == F.col("more_key")), "left")
     spans = F.array_sort(F.concat(base, F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean>>"))))
     names = F.array(*map(F.lit, KINDS))
     named = F.transform(spans, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return out.select(*kept, named.alias("spans"))
+    return unpacked(out.withColumn("spans", named), [c for c in columns if c != "text"], "spans")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, partitions, stage
+from .common import documents, in_arrow, packed, partitions, stage, unpacked
 
 RING = 1 << 63
 
@@ -81,10 +81,11 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64, slack: float =
     order = np.argsort(places, kind="stable")
     places, owners = places[order], owners[order]
 
+    columns, docs = docs.columns, packed(docs, "doc_id", "text")
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
     spot = F.shiftrightunsigned(F.xxhash64(text), 1).bitwiseAND(F.lit((RING - 1) ^ 0xFFFFFF)).bitwiseOR(F.xxhash64(docs["doc_id"].cast("string")).bitwiseAND(F.lit(0xFFFFFF)))
     spot = F.when(spot >= F.lit(shift), spot - F.lit(shift)).otherwise(spot + F.lit(RING - 1 - shift) + 1)
-    kept = [c for c in docs.columns if c not in [*new, "text"]]
+    kept = ["doc_id", "_others"]
     narrow = docs.select(*kept, (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), spot.alias("_spot"))
     narrow = narrow.repartitionByRange(partitions(spark), "_spot", "doc_id").sortWithinPartitions("_spot", "doc_id")
     row = F.monotonically_increasing_id()
@@ -96,7 +97,7 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64, slack: float =
             found, count = np.unique(both, axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1], pa.int32()), pa.array(count, pa.int64())], ["_part", "arc", "count"])
 
-    found = ring.select("_part", "_spot").mapInArrow(arcs, "_part int, arc int, count long").groupBy("_part", "arc").agg(F.sum("count").alias("count")).collect()
+    found = ring.select("_part", "_spot").transform(in_arrow, arcs, "_part int, arc int, count long").groupBy("_part", "arc").agg(F.sum("count").alias("count")).collect()
     counts, offsets = np.zeros(len(places), np.int64), np.zeros(max((r["_part"] for r in found), default=0) + 2, np.int64)
     for r in found:
         counts[r["arc"]] += r["count"]
@@ -123,7 +124,7 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64, slack: float =
             added = [pa.array([law] * len(rank), pa.string()), pa.array(owner[piece], pa.int32()), pa.array(slots[piece] + rank - begins[piece], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in schema.names[:-3]] + added, schema.names)
 
-    return ring.mapInArrow(place, schema)
+    return unpacked(ring.transform(in_arrow, place, schema), [c for c in columns if c != "text"], *new)
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

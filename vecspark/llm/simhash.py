@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, partitions, small, stage
+from .common import documents, held, in_arrow, partitions, small, stage
 
 BITS, BLOCKS = 128, 8
 RADIUS = BLOCKS - 2
 #: Terms that vote at a time, and words whose hashes a worker remembers.
-TERMS_AT_ONCE, WORDS_KEPT = 1 << 15, 400_000
+TERMS_AT_ONCE, WORDS_KEPT = 1 << 15, 200_000
 
 
 class WordHashes(dict):
@@ -80,12 +80,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("text", "fingerprint")] + [T.StructField("fingerprint", T.StringType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = held("words", WordHashes)
         for batch in batches:
             prints = [fingerprint(hashes.of(t.as_py() or "")).hex() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in schema.names[:-1]] + [pa.array(prints, pa.string())], schema.names)
 
-    return docs.mapInArrow(compute, schema)
+    return docs.transform(in_arrow, compute, schema)
 
 
 def _blocks(print_: Column) -> Column:
@@ -117,7 +117,7 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
     """
     if radius > RADIUS:
         raise ValueError(f"{BLOCKS} blocks, two of which agree, find {RADIUS} bits at most")
-    asked = stage(_tables(queries.select("fingerprint").where("fingerprint is not null").distinct(), "query"), "simhash-queries")
+    asked = stage(_tables(queries.select("fingerprint").where("fingerprint is not null").distinct(), "query"), "simhash-queries", few=True)
     known = _tables(prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("found_n")), "found")
     asked = asked.select("query_print", "query_b", F.col("table").alias("query_table"), F.col("key").alias("query_key"))
     agree = F.size(F.filter(F.sequence(F.lit(0), F.col("upto") - 1), lambda k: F.get("query_b", k) == F.get("found_b", k)))
@@ -144,7 +144,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
                 found = np.searchsorted(cuts, batch.column("at").to_numpy(), "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "bucket"])
 
-        return rows.mapInArrow(compute, T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())]))
+        return rows.transform(in_arrow, compute, T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())]))
 
     heads = sorted((r["bucket"], r["head"]) for r in bucketed(at.select("at", "text_key")).groupBy("bucket").agg(F.min(F.struct("at", "text_key")).alias("head")).collect())
     sent = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("peek")))
@@ -174,32 +174,32 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = WordHashes(), None
+        hashes, last_row = held("words", WordHashes), None
         for batch in batches:
             rows = []
             for to, peek, at, text in zip(*(batch.column(c) for c in ("to", "peek", "at", "text"))):
                 to, peek, at, text = to.as_py(), peek.as_py(), at.as_py(), text.as_py() or ""
-                if held and held[0] == to and held[1] == 1:
+                if last_row and last_row[0] == to and last_row[1] == 1:
                     continue  # more of the first documents of the next bucket, equal to the one before
                 own = fingerprint(hashes.of(text))
-                if held and held[0] == to:
-                    _, _, last_at, last, last_print = held
+                if last_row and last_row[0] == to:
+                    _, _, last_at, last, last_print = last_row
                     cut = len(last) // 4
                     edited = last[: len(last) - cut] + text[:cut]
                     changed = fingerprint(hashes.of(edited))
                     rows.append((None if last_at == -(1 << 63) else last_at, len(last), hashlib.sha256(edited.encode()).hexdigest(), last_print.hex(), changed.hex(), likeness(last_print, changed), likeness(last_print, own)))
-                held = (to, peek, at, text, own)
+                last_row = (to, peek, at, text, own)
             columns = list(zip(*rows)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
 
-    return _neighbours(docs).mapInArrow(compute, schema)
+    return _neighbours(docs).transform(in_arrow, compute, schema)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents; for those whose id is divisible by 100, also how many documents are within the radius."""
     prints = stage(edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text")), "simhash")
     found = search(prints.where("doc_id % 100 = 0"), prints).groupBy("query_print").agg(F.sum("found_n").alias("n_within"))
-    found = stage(found, "simhash-found")
+    found = stage(found, "simhash-found", few=True)
     counted = prints.join(small(found), (F.col("doc_id") % 100 == 0) & (F.col("fingerprint") == F.col("query_print")), "left")
     return counted.select(*prints.columns, "n_within")

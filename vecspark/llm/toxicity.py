@@ -14,6 +14,7 @@ it lies.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, held, in_arrow
 
 FEATURES = 1 << 18
 #: Letters of a word's beginning that make a feature.
 STEM = 5
 #: ASCII characters that part words, besides white space.
 PARTING = bytes(32 if chr(k) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789" else k for k in range(256))
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 def words(text: str) -> set[bytes]:
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabel
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([features(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["part", "features"])
 
-    got = rows.mapInArrow(compute, "part string, features binary").toArrow()
+    got = rows.transform(in_arrow, compute, "part string, features binary").toArrow()
     sides: dict[str, list[np.ndarray]] = {"t": [], "u": []}
     for part, found in sorted(zip(got.column("part").to_pylist(), got.column("features").to_pylist())):
         sides[part].append(np.frombuffer(found, np.int32))
@@ -160,7 +161,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         counts = model.weights.any(1)
-        known: dict[bytes, tuple[int, ...]] = {}
+        known: dict[bytes, tuple[int, ...]] = held("toxicity " + hashlib.sha256(model.weights.tobytes()).hexdigest(), dict)
 
         def telling(word: bytes) -> tuple[int, ...]:
             found = known.get(word)
@@ -182,7 +183,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
             added = [pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in schema.names[:-2]] + added, schema.names)
 
-    return docs.mapInArrow(compute, schema)
+    return docs.transform(in_arrow, compute, schema)
 
 
 def held_out(doc_id) -> F.Column:
