@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, documents, small, stage
+from .common import GAP, WORD, documents, packed, small, stage, unpacked
 
 #: Words in the shorter of two lines, for the two to count as near; shorter lines have to be equal.
 NEAR_WORDS = 8
@@ -52,8 +52,9 @@ def _last(words: Column, n: Column) -> Column:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """One row for each line with words: its place, its hashes and those of its halves."""
-    lines = docs.select("doc_id", _text_key(docs).alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    lines = lines.withColumn("words", _words(F.col("words"))).withColumn("n", F.size("words")).where("n > 0")
+    texts = docs.select("doc_id", _text_key(docs).alias("text_key"), "text")  # the key once for a text, not for each of its lines
+    lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
+    lines = lines.where(F.col("words").rlike(WORD)).withColumn("words", _words(F.col("words"))).withColumn("n", F.size("words"))
 
     def halves(n: Column, role: str) -> list[Column]:
         """Hashes of the halves that a line of n words must share, n being the line's own length or one less."""
@@ -122,21 +123,22 @@ def _variants(lines: DataFrame) -> DataFrame:
 
 def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes (k1, k2) that have a near line at an earlier place."""
-    meeting = stage(_meeting(classes).join(classes.select("k1", "k2", "place"), ["k1", "k2"]), "lines-meeting")
+    meeting = _meeting(classes).join(classes.select("k1", "k2", "place"), ["k1", "k2"])
     flags = [f"{name}{k}" for name in ("same", "short", "long") for k in (0, 1)]
     by_text = meeting.groupBy(F.col("place.doc_id").alias("at_id"), F.col("place.text_key").alias("at_text")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "k1", "k2", "place", *flags)).alias("lines"))
-    by_text = stage(by_text, "lines-by-text")
+    by_text = stage(by_text, "lines-by-text", few=True)
     texts = docs.select("doc_id", "text", _text_key(docs).alias("text_key")).join(small(by_text), F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_text")))
-    lines = texts.select(F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("x")).select("x.*", _words(F.element_at("all", F.col("x.line") + 1)).alias("words"))
+    texts = texts.select(F.split("text", "\n", -1).alias("all"), "lines")
+    lines = texts.select("all", F.explode("lines").alias("x")).select("x.*", _words(F.element_at("all", F.col("x.line") + 1)).alias("words"))
     lines = lines.withColumn("n", F.size("words"))
-    lines = stage(lines.dropDuplicates(["k1", "k2"]), "lines-words")
+    lines = stage(lines.dropDuplicates(["k1", "k2"]), "lines-words", few=True)
 
     variants = stage(_variants(lines), "lines-variants")
     who = F.struct("place", "k1", "k2")
     shared = variants.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("kind") < 2, who)).alias("base"), F.min(F.when(F.col("kind") == 2, who)).alias("longer")).where("members > 1")
     met = variants.join(shared, "key").withColumn("partner", F.when(F.col("kind") == 1, F.col("longer")).otherwise(F.col("base")))
     met = met.where(F.col("partner").isNotNull() & (F.col("partner.place") < F.col("place")))
-    pairs = stage(met.select("k1", "k2", "kind", "at", F.col("partner.k1").alias("p1"), F.col("partner.k2").alias("p2")).distinct(), "lines-pairs")
+    pairs = met.select("k1", "k2", "kind", "at", F.col("partner.k1").alias("p1"), F.col("partner.k2").alias("p2")).distinct()
 
     own = pairs.join(lines.select("k1", "k2", "words"), ["k1", "k2"])
     other = lines.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("words").alias("others"))
@@ -165,24 +167,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     the text's hash.  Other columns stay, except ones named ``n_lines`` and
     ``n_kept``.  An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_kept")
+    columns, docs = docs.columns, packed(docs, "doc_id", "text")
     lines = stage(_occurrences(docs), "lines")
     place = F.struct("doc_id", "line", "text_key")
     halves = [f"{role}{k}" for role in ("same", "longer") for k in (0, 1)]
     classes = stage(lines.groupBy("k1", "k2").agg(F.min(place).alias("place"), F.max(place).alias("last"), *[F.first(h).alias(h) for h in halves]), "lines-classes")
-    near = stage(_near(docs, classes), "lines-near")
-    gone = classes.join(small(near).withColumn("near", F.lit(True)), ["k1", "k2"], "left").where(F.col("near") | (F.col("place") < F.col("last")))
-    gone = stage(gone.select("k1", "k2", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near")), "lines-gone")
+    near = _near(docs, classes)
+    gone = classes.join(near.withColumn("near", F.lit(True)), ["k1", "k2"], "left").where(F.col("near") | (F.col("place") < F.col("last")))
+    gone = stage(gone.select("k1", "k2", F.col("place").alias("earliest"), F.coalesce("near", F.lit(False)).alias("near")), "lines-gone", few=True)
     drop = lines.select("k1", "k2", place.alias("place")).join(small(gone), ["k1", "k2"]).where(F.col("near") | (F.col("place") > F.col("earliest")))
     drop = drop.groupBy(F.col("place.doc_id").alias("drop_id"), F.col("place.text_key").alias("drop_text")).agg(F.collect_set("place.line").alias("drop_lines"))
-    drop = stage(drop, "lines-drop")
+    drop = stage(drop, "lines-drop", few=True)
     out = docs.withColumn("text_key_", _text_key(docs)).join(small(drop), docs["doc_id"].eqNullSafe(F.col("drop_id")) & (F.col("text_key_") == F.col("drop_text")), "left")
-    cut = F.split("text", "\n", -1)
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(cut)).cast("long"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    out = out.withColumn("n_lines", F.coalesce(feeds + 1, F.lit(0)).cast("long"))
     stay = F.array_except(F.sequence(F.lit(1), F.col("n_lines").cast("int")), F.transform("drop_lines", lambda k: k + 1))
     out = out.withColumn("n_kept", F.col("n_lines") - F.coalesce(F.when(F.col("drop_lines").isNotNull(), F.size("drop_lines")), F.lit(0)))
     text = F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.element_at(F.col("all_lines"), k)), "\n"))
-    return out.withColumn("all_lines", F.when(F.col("drop_lines").isNotNull(), cut)).withColumn("text", text).drop("text_key_", "drop_id", "drop_text", "drop_lines", "all_lines")
+    out = out.withColumn("all_lines", F.when(F.col("drop_lines").isNotNull(), F.split("text", "\n", -1))).withColumn("text", text)
+    return unpacked(out, columns, "n_lines", "n_kept")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
