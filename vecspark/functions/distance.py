@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workers import ship
+
 Distance = Callable[[Column, Column], Column]
 
 
@@ -81,6 +83,7 @@ def metric(name: str | Distance) -> Distance:
 
 def hash_shards(base: DataFrame, shards: int, vector: str = "embedding") -> DataFrame:
     """``base`` with ``shard``: the hash h = 31 h + bits of a vector's float32 values, modulo 2^64, modulo ``shards``."""
+    ship(base.sparkSession)
     schema = T.StructType([*base.schema.fields, T.StructField("shard", T.IntegerType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..workers import ship
 from . import ivf, kmeans
 from .sizes import blocks, union
 from .topk import top_k
@@ -362,6 +363,7 @@ def build(sharded: DataFrame, m: int = 16, ef_build: int = 200, metric: str = "l
             graph.add(ids[k], vectors[k])
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "graph": pa.array([graph.dumped()], pa.binary())})
 
+    ship(sharded.sparkSession)
     return sharded.select("shard", "vec_id", "embedding").groupBy("shard").applyInArrow(one, "shard int, n long, graph binary")
 
 
@@ -383,6 +385,7 @@ def _searched(graphs: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFra
     if len(parts) > 1:
         return union([_searched(graphs, part, k, ef) for part in parts])
     table = queries.select("query_id", "q").toArrow()
+    ship(graphs.sparkSession)
     spread = graphs.sparkSession.sparkContext.broadcast(dict(zip(table.column("query_id").to_pylist(), table.column("q").to_pylist())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,6 +427,7 @@ def edge_table(graphs: DataFrame) -> DataFrame:
                 rows = list(zip(*((shard, *e) for e in Graph.loaded(data.as_py()).edges()))) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["shard", "level", "node", "neighbour"])
 
+    ship(graphs.sparkSession)
     return graphs.select("shard", "graph").mapInArrow(run, "shard int, level int, node long, neighbour long")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..workers import ship
 
 Centroids = list[tuple[int, list[float]]]
 CENTROIDS = "cid int, c array<double>"
@@ -91,6 +92,7 @@ def _means(assigned: DataFrame, vector: str) -> dict[int, list[float]]:
 def _means_by_product(base: DataFrame, centroids: Centroids, vector: str) -> dict[int, list[float]]:
     """Means of the clusters, assigned and added up by matrix products within each task."""
     cids, c = [k for k, _ in centroids], np.array([v for _, v in centroids])
+    ship(base.sparkSession)
     sent = base.sparkSession.sparkContext.broadcast(c)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

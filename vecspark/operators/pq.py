@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distance as D
+from ..workers import ship
 from . import kmeans
 from .sizes import blocks, sent, union
 from .topk import top_k
@@ -99,6 +100,7 @@ def encode(base: DataFrame, book: Codebook, vector: str = "embedding") -> DataFr
 def encode_by_product(base: DataFrame, book: Codebook, vector: str = "embedding") -> DataFrame:
     """The same codes by matrix products over Arrow batches, for large codebooks."""
     words = np.array(book.words)
+    ship(base.sparkSession)
     spread = base.sparkSession.sparkContext.broadcast(words)
     schema = T.StructType([*base.schema.fields, T.StructField("code", T.ArrayType(T.ShortType()))])
 

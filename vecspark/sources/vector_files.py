@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..workers import ship
+
 HEADED = {"fbin": "<f4", "ibin": "<i4"}
 ROWED = {"fvecs": "<f4", "ivecs": "<i4", "bvecs": "u1"}
 
@@ -80,6 +82,7 @@ class VectorFiles(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(VectorFiles)
 
 
