@@ -56,3 +56,17 @@ def test_the_engine_stands_alone(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "vecspark" / "llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flat_knn_ip' in q and not any(n.startswith('op') for n in q), q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["flat_knn_gemm"](spark, {DATA!r}).count() == 50
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("SPARK") and not k.startswith("PYSPARK")}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
