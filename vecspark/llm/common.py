@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of rows that are sent to a Python worker at a time: texts may be long.
@@ -43,12 +45,14 @@ def stage(df: DataFrame, name: str = "stage", few: bool = False) -> DataFrame:
 
     This cuts the lineage: a lost executor costs its running tasks only, and
     what was written is read back by any other one.  With ``few``, for tables
-    that are much smaller than the texts, no more files are written than there
-    are cores.
+    that are much smaller than the texts, files are fewer: a quarter of the
+    shuffle partitions, but no fewer than there are cores.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
+    if few:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions(spark) // 4))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +81,7 @@ def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
     The setting is the session's, as it counts when the query runs; it is only
     ever lowered.
     """
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES:
         conf.set(key, BATCH_BYTES)
