@@ -30,6 +30,8 @@ REMEMBERED = 200_000
 ROWS_AT_ONCE = 256
 #: Longer pieces are encoded each time they occur.
 LONG_PIECE = 64
+#: The rank of what is no token.
+NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,26 +69,63 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        whole = {token for token, rank in ranks.items() if len(token) == 1 or self.merged(token) == [rank]}
+        #: for each token the tokens at its end and at its beginning while it is put together, from the single byte to itself
+        self.last_parts: dict[int, tuple[int, ...]] = {}
+        self.first_parts: dict[int, tuple[int, ...]] = {}
+        whole = set()
+        for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
+            if len(token) == 1:
+                self.last_parts[rank] = self.first_parts[rank] = (rank,)
+            elif len(halves := self._put_together(token, 2)) == 2 and halves[0] in whole and halves[1] in whole:
+                self.first_parts[rank] = (*self.first_parts[ranks[halves[0]]], rank)
+                self.last_parts[rank] = (*self.last_parts[ranks[halves[1]]], rank)
+            else:
+                continue
+            whole.add(token)
         self.ending: dict[bytes, tuple | None] = {b"": None}
         for end in sorted({token[k:m] for token in ranks for m in range(1, len(token) + 1) for k in range(m)}, key=len):
             shorter = self.ending[end[1:]]
             self.ending[end] = (len(end), ranks[end], shorter) if end in whole else shorter
-        self.apart = Remembered(self._apart)
+        self.apart = Remembered(self._apart, REMEMBERED // 2)
         self.piece = Remembered(self._piece)
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding by its definition: join the neighbours of least rank, leftmost first, until none can be joined."""
+    def _put_together(self, data: bytes, least: int = 1) -> list[bytes]:
+        """Join the neighbours of least rank, leftmost first, until none can be joined or ``least`` parts are left."""
         parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            rank, k = min(((self.ranks.get(parts[k] + parts[k + 1], 1 << 62), k) for k in range(len(parts) - 1)))
-            if rank == 1 << 62:
+        while len(parts) > least:
+            rank, k = min(((self.ranks.get(parts[k] + parts[k + 1], NEVER), k) for k in range(len(parts) - 1)))
+            if rank == NEVER:
                 break
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.ranks[part] for part in parts]
+        return parts
+
+    def merged(self, data: bytes) -> list[int]:
+        """The encoding by its definition."""
+        return [self.ranks[part] for part in self._put_together(data)]
 
     def _apart(self, pair: tuple[int, int]) -> bool:
-        return self.merged(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == list(pair)
+        """Whether two tokens stay apart when they are encoded together.
+
+        Both are put together side by side, in order of rank.  They stay apart
+        unless, at some time, what then stands at the end of the one and at the
+        beginning of the other joins before either goes on; of equal ranks the
+        left one goes first.
+        """
+        ends, begins = self.last_parts[pair[0]], self.first_parts[pair[1]]
+        bytes_of, rank_of = self.bytes_of, self.ranks.get
+        i = j = 0
+        while True:
+            joint = rank_of(bytes_of[ends[i]] + bytes_of[begins[j]], NEVER)
+            left = ends[i + 1] if i + 1 < len(ends) else NEVER
+            right = begins[j + 1] if j + 1 < len(begins) else NEVER
+            if joint < left and joint <= right and joint != NEVER:
+                return False
+            if left == right == NEVER:
+                return True
+            if left <= right:
+                i += 1
+            else:
+                j += 1
 
     def last_tokens(self, data: bytes, last: list[int], stop: int | None = None) -> list[int]:
         """Extend ``last`` (the last tokens of the first prefixes of ``data``) up to ``stop`` bytes."""
