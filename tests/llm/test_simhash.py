@@ -57,6 +57,44 @@ def test_search_finds_all_within_the_radius(spark):
         simhash.search(asked, table_, 7)
 
 
+@pytest.mark.parametrize("radius, at_once", [(6, 1 << 17), (20, 1 << 17), (20, 16), (70, 16)])
+def test_within_counts_all_at_any_radius(spark, monkeypatch, radius, at_once):
+    monkeypatch.setattr(simhash, "QUERIES_AT_ONCE", at_once)
+    random.seed(4)
+    prints = [random.getrandbits(128) for _ in range(40)]
+    for p in list(prints):
+        for _ in range(8):
+            q = p
+            for bit in random.sample(range(128), random.randrange(0, 30)):
+                q ^= 1 << bit
+            prints.append(q)
+    prints += prints[:10]
+    table_ = spark.createDataFrame([(f"{p:032x}",) for p in prints] + [(None,)], "fingerprint string")
+    asked = spark.createDataFrame([(f"{p:032x}",) for p in prints[:60]] + [(None,)], "fingerprint string")
+    got = {r["query_print"]: r["n_within"] for r in simhash.within(asked, table_, radius).collect()}
+    assert got == {f"{a:032x}": sum((a ^ b).bit_count() <= radius for b in prints) for a in prints[:60]}
+    assert simhash.within(asked, table_.where("false"), radius).count() == simhash.within(asked.where("false"), table_, radius).count() == 0
+
+
+def test_near_copies_are_within_the_registered_radius(spark, tmp_path):
+    """Two changed words in 150 are mostly over 6 bits apart, yet near."""
+    random.seed(5)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(0, 2000, 100):
+        words = random.choices(vocabulary, k=150)
+        near = list(words)
+        for at in (30, 90):
+            near[at] = "changed"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(near))]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in simhash.op8_simhash(spark, str(tmp_path)).collect()}
+    apart = {i: (int(r["fingerprint"], 16) ^ int(got[i + 1]["fingerprint"], 16)).bit_count() for i, r in got.items() if i % 100 == 0}
+    assert sum(d > simhash.RADIUS for d in apart.values()) > 10
+    assert [got[i]["n_within"] for i in apart] == [1 + (d <= simhash.NEAR) for d in apart.values()]
+    assert sum(d <= simhash.NEAR for d in apart.values()) > 15
+
+
 def test_odd_tables(spark):
     docs = table(spark, odd_rows()).selectExpr("*", "1 as bucket", "'x' as fingerprint", "2 as at")
     got = simhash.edited_fingerprints(docs).collect()

@@ -5,9 +5,12 @@ occurs.  Every term's hash votes on each of 128 bits, for or against; the signs
 of the sums are the fingerprint.  The share of bits in which two fingerprints
 differ, times pi, estimates the angle between the texts' term vectors.
 
-The search cuts a fingerprint into 8 blocks.  Two fingerprints within 6 bits
-agree in two blocks at least, so there is a table for each pair of blocks, and a
-query looks for its own blocks in each of the tables.
+``search`` finds the closest pairs.  It cuts a fingerprint into 8 blocks.  Two
+fingerprints within 6 bits agree in two blocks at least, so there is a table for
+each pair of blocks, and a query looks for its own blocks in each of the tables.
+
+Near copies are further apart than that.  ``within`` takes any radius: it
+compares every fingerprint with every query, in blocks of queries.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +32,10 @@ from .common import documents, held, in_arrow, partitions, small, stage
 
 BITS, BLOCKS = 128, 8
 RADIUS = BLOCKS - 2
+#: Bits by which near copies differ at most: an estimated cosine of 0.88.
+NEAR = 20
+#: Queries that each task compares with its fingerprints at a time.
+QUERIES_AT_ONCE = 1 << 17
 #: Terms that vote at a time, and words whose hashes a worker remembers.
 TERMS_AT_ONCE, WORDS_KEPT = 1 << 15, 200_000
 
@@ -125,6 +133,45 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataF
     return known.join(small(asked), on).select("query_print", "found_print", "found_n", _apart("query_print", "found_print").alias("apart"))
 
 
+def _words(prints: list[str]) -> np.ndarray:
+    """Fingerprints in hex as two rows of 64-bit numbers."""
+    return np.ascontiguousarray(np.frombuffer(bytes.fromhex("".join(prints)), np.uint64).reshape(-1, 2).T)
+
+
+def within(queries: DataFrame, prints: DataFrame, radius: int = NEAR) -> DataFrame:
+    """``query_print, n_within``: the number of documents within ``radius`` bits of each fingerprint of ``queries``.
+
+    Both tables have ``fingerprint``.  All pairs are compared, so any radius is
+    exact and common fingerprints cost no more than others; a task gives one row
+    for each query that it found something for.  Nulls are left out, and so are
+    queries with no document within the radius.
+    """
+    asked = stage(queries.select("fingerprint").where("fingerprint is not null").distinct(), "simhash-queries", few=True)
+    known = prints.select("fingerprint").where("fingerprint is not null")
+    n = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    parts = []
+    for block in range(n):
+        names = asked.where(F.pmod(F.xxhash64("fingerprint"), F.lit(n)) == block).toArrow().column("fingerprint").to_pylist()
+        sent = prints.sparkSession.sparkContext.broadcast(names)
+
+        def compare(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names = sent.value
+            first, second = _words(names)
+            counts = np.zeros(len(names), np.int64)
+            for batch in batches:
+                a, b = _words(batch.column("fingerprint").to_pylist())
+                bits, apart = np.empty_like(a), np.empty(len(a), np.uint8)
+                for k in range(len(names)):
+                    np.bitwise_count(np.bitwise_xor(a, first[k], out=bits), out=apart)
+                    left = np.flatnonzero(apart <= radius)
+                    counts[k] += np.count_nonzero(apart[left] + np.bitwise_count(b[left] ^ second[k]) <= radius)
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in found], pa.string()), pa.array(counts[found])], ["query_print", "n"])
+
+        parts.append(known.transform(in_arrow, compare, "query_print string, n long"))
+    return reduce(DataFrame.unionByName, parts).groupBy("query_print").agg(F.sum("n").alias("n_within"))
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
     """Documents in order of id within buckets of ids, each bucket with the first document behind it.
 
@@ -197,9 +244,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents; for those whose id is divisible by 100, also how many documents are within the radius."""
+    """Fingerprints of all documents; for those whose id is divisible by 100, also how many documents are within 20 bits."""
     prints = stage(edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text")), "simhash")
-    found = search(prints.where("doc_id % 100 = 0"), prints).groupBy("query_print").agg(F.sum("found_n").alias("n_within"))
-    found = stage(found, "simhash-found", few=True)
+    found = stage(within(prints.where("doc_id % 100 = 0"), prints), "simhash-found", few=True)
     counted = prints.join(small(found), (F.col("doc_id") % 100 == 0) & (F.col("fingerprint") == F.col("query_print")), "left")
     return counted.select(*prints.columns, "n_within")
