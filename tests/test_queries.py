@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from vecspark.operators import flat, hnsw
 from vecspark.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
@@ -41,6 +42,23 @@ def test_query_without_sql(spark, name):
     assert found.columns == ["query_id", "rank", "vec_id", "dist"] and found.where("rank = 1").count() == 5
 
 
+def test_exhaustive_beam_is_as_wide_as_the_largest_graph(spark, tmp_path, monkeypatch):
+    """Shards of more than 1,000 vectors; the graphs themselves are not built here."""
+    rows = spark.range(4, 6004).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding")
+    rows = rows.unionByName(spark.range(500).selectExpr("10000 + 4 * id as vec_id", "array(cast(id as float), 2f) as embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    beams = []
+
+    def search(graphs, queries, k, ef):
+        beams.append(ef)
+        return flat.knn(queries.selectExpr("query_id as vec_id", "q as embedding"), queries, k, "l2")
+
+    monkeypatch.setattr(hnsw, "build", lambda sharded, **_: sharded)
+    monkeypatch.setattr(hnsw, "search_shards", search)
+    QUERIES["hnsw_exhaustive_ef"](spark, str(tmp_path))
+    assert beams == [2000]
+
+
 def test_registry(spark):
     assert set(QUERIES) - set(SQL) == NO_SQL
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())

@@ -427,9 +427,11 @@ def pqivf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hnsw_exhaustive_ef", _knn_sql(S.l2("q.q", "e.embedding")))
 def hnsw_exhaustive_ef(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a beam as wide as the graphs, the result is exact."""
+    """With a beam as wide as the largest graph, the result is exact."""
     base, queries = _both(spark, sf_dir)
-    return _out(hnsw.search_shards(hnsw.build(hnsw.shard_in_turn(base, 4), ef_build=100), queries, K, 1000))
+    sharded = hnsw.shard_in_turn(base, 4)
+    widest = sharded.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    return _out(hnsw.search_shards(hnsw.build(sharded, ef_build=100), queries, K, max(K, widest)))
 
 
 @query("hnsw_knn")
