@@ -42,6 +42,14 @@ def test_query_without_sql(spark, name):
     assert found.columns == ["query_id", "rank", "vec_id", "dist"] and found.where("rank = 1").count() == 5
 
 
+@pytest.mark.parametrize("name", ["ivf_batch_grouped", "ivf_hnsw_knn"])
+def test_recall_of_registered_lists(spark, name):
+    data = "/root/testdata/sf0.1"
+    pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
+    want = pairs(QUERIES["flat_knn_l2"](spark, data))
+    assert len(pairs(QUERIES[name](spark, data)) & want) >= 0.9 * len(want)
+
+
 def test_exhaustive_beam_is_as_wide_as_the_largest_graph(spark, tmp_path, monkeypatch):
     """Shards of more than 1,000 vectors; the graphs themselves are not built here."""
     rows = spark.range(4, 6004).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding")

@@ -22,6 +22,8 @@ SQL: dict[str, str] = {}
 
 #: Parameters of the registered queries.
 K, CLUSTERS, ROUNDS, NPROBE = 10, 8, 3, 3
+#: Lists probed by the queries without SQL: recall of 0.9 on the whole table.
+PROBED = 6
 M, KS, PQ_ROUNDS = 8, 16, 2
 RADIUS = 1.6
 
@@ -290,7 +292,7 @@ def ivf_explicit_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ivf_batch_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, queries = _both(spark, sf_dir)
     centroids = _centroids(spark, sf_dir)
-    return _out(ivf.search_in_groups(ivf.build(base, centroids), queries, centroids, K, NPROBE, 4))
+    return _out(ivf.search_in_groups(ivf.build(base, centroids), queries, centroids, K, PROBED, 4))
 
 
 @query(
@@ -445,7 +447,7 @@ def ivf_hnsw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, queries = _both(spark, sf_dir)
     centroids = _centroids(spark, sf_dir)
     graphs = hnsw.build(hnsw.shard_by_cluster(base, centroids))
-    return _out(hnsw.search_lists(graphs, queries, centroids, K, NPROBE, 50, base))
+    return _out(hnsw.search_lists(graphs, queries, centroids, K, PROBED, 50, base))
 
 
 @query("sharded_hnsw_knn")
