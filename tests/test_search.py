@@ -134,7 +134,7 @@ def test_inverted_lists(spark, clustered):
     seen = [recall(ivf.search(index, queries, ivf.probes(queries, centroids, n), 10), truth) for n in (1, 4, 20)]
     assert seen == sorted(seen) and seen[1] > 0.95 and seen[2] == 1
     chosen = ivf.probes(queries, centroids, 2)
-    assert lists(ivf.search(ivf.pruned(index, chosen), queries, chosen, 10)) == lists(ivf.search(index, queries, chosen, 10, rows=100))
+    assert lists(ivf.search(ivf.pruned(index, chosen), queries, chosen, 10)) == lists(ivf.search(index, queries, chosen, 10, lists=4))
     assert recall(ivf.search_in_groups(index, queries, centroids, 10, 4, 8), truth) > 0.9
     more = ivf.add(index, frame(spark, q, 10_000), centroids)
     assert all(r["vec_id"] == 10_000 + r["query_id"] for r in ivf.search(more, queries, ivf.probes(queries, centroids, 1), 1).collect())
@@ -268,6 +268,42 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     assert lists(hnsw.search_shards(graphs, queries, 4, 60)) == by_graph
 
 
+def test_index_stays_where_it_is(spark, monkeypatch):
+    """With automatic broadcast off, no exchange carries vectors or codes to a list's key; blocks of queries give the same result."""
+    from vecspark.operators import sizes
+
+    x, q = blobs(300, 8)
+    base, queries = frame(spark, x), asked(spark, q)
+    centroids = kmeans.lloyd(base, kmeans.first_rows(base, 5), 2)
+    index, book = ivf.build(base, centroids), hybrid.train(base, centroids, 2, 8, 2)
+    coded = hybrid.build(base, centroids, book)
+    find = lambda: [ivf.search(index, queries, ivf.probes(queries, centroids, 2), 5), hybrid.search(coded, queries, centroids, book, 5, 2, 20)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        whole = [lists(f) for f in find()]
+        for f in find():
+            plan = f._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+        monkeypatch.setattr(sizes, "SENT_BYTES", 24 * 1024 * 20)
+        assert [lists(f) for f in find()] == whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_shards_are_split(spark, monkeypatch):
+    x, q = blobs(300, 6, 8, 9)
+    base, queries = frame(spark, x), asked(spark, q)
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 100)
+    sharded = hnsw.shard_in_turn(base, 2)
+    graphs = hnsw.build(sharded, 8, 60).cache()
+    assert [r["n"] for r in graphs.select(F.max("n").alias("n")).collect()][0] < 110 and graphs.count() == 4
+    assert lists(hnsw.search_shards(graphs, queries, 5, 300)) == lists(flat.knn(base, queries, 5, "l2"))
+    even = hnsw.search_shards(graphs, queries, 5, 300, sharded.where("vec_id % 4 = 0"))
+    assert lists(even) == lists(flat.knn(base.where("vec_id % 4 = 0"), queries, 5, "l2"))
+    assert lists(hnsw.search_within(graphs, queries, 1e9, 300, 7)) == lists(flat.knn(base, queries, 7, "l2"))
+
+
 def test_walks_with_own_ends():
     x, q = blobs(900, 6, 8, 30)
     graph = hnsw.Graph(6, 12, 100)
@@ -277,7 +313,7 @@ def test_walks_with_own_ends():
     hit = wanted = 0
     for row, values in zip(q, far):
         radius = np.partition(values, 25)[25]
-        got = {i for _, i in graph.search_until(row, hnsw.Within(radius, 100, 400))}
+        got = {i for _, i in graph.within(row, radius, 100, 400)}
         want = set(np.flatnonzero(values <= radius).tolist())
         assert got <= want
         hit, wanted = hit + len(got), wanted + len(want)
@@ -285,11 +321,13 @@ def test_walks_with_own_ends():
     doc_of = {k: k % 40 for k in range(900)}
     good = 0
     for row, values in zip(q, far):
-        got = [i for _, i in graph.search_until(row, hnsw.Documents(doc_of, 5, 15))]
+        got = [i for _, i in graph.documents(row, doc_of, 5, 15)]
         order = np.argsort(values, kind="stable").tolist()
         n = next(k for k in range(900) if len({doc_of[i] for i in order[: k + 1]}) > 5)
         assert len({doc_of[i] for i in got}) == 5
         good += len(set(got) & set(order[:n])) / n
     assert good / len(q) > 0.95 and graph.hops > 0 and graph.measured > graph.hops
-    odd = graph.search_until(q[0], hnsw.Within(1e9, 900, 900), lambda label: label % 2 == 1)
+    odd = graph.within(q[0], 1e9, 900, 900, lambda label: label % 2 == 1)
     assert len(odd) == 450 and all(label % 2 for _, label in odd)
+    assert [i for _, i in graph.within(q[0], 1e9, 0, 7)] == np.argsort(far[0], kind="stable")[:7].tolist()
+    assert sorted(i for _, i in graph.walk(q[0])) == list(range(900))

@@ -14,107 +14,27 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from ..workers import ship
 from . import ivf, kmeans
-from .sizes import blocks, union
+from .sizes import blocks, sent, union
 from .topk import top_k
 
 #: Vectors that a shard's graph should hold at most.
 SHARD_ROWS = 20_000
 
 
-class Stop:
-    """When a walk over a graph ends, and what it keeps; subclasses decide.
-
-    The walk tells of every vector that it keeps or lets go, and asks before it
-    goes on from a candidate, before it keeps one, and while it may hold too many.
-    """
-
-    def added(self, label: int, far: float) -> None:
-        """A vector is kept."""
-
-    def removed(self, label: int, far: float) -> None:
-        """The farthest vector is let go."""
-
-    def ends(self, nearest: float, farthest: float) -> bool:
-        """Whether to end, the nearest candidate and the farthest kept vector being so far."""
-        raise NotImplementedError
-
-    def wants(self, far: float, farthest: float) -> bool:
-        """Whether to keep a vector."""
-        raise NotImplementedError
-
-    def overfull(self) -> bool:
-        """Whether the farthest kept vector has to go."""
-        raise NotImplementedError
-
-    def chosen(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        """The result, of what was kept, closest first."""
-        return found
-
-
-class Within(Stop):
-    """All vectors within a radius, ``most`` at most; at least ``least`` are looked at."""
-
-    def __init__(self, radius: float, least: int, most: int):
-        self.radius, self.least, self.most, self.kept = radius, least, most, 0
-
-    def added(self, label: int, far: float) -> None:
-        self.kept += 1
-
-    def removed(self, label: int, far: float) -> None:
-        self.kept -= 1
-
-    def ends(self, nearest: float, farthest: float) -> bool:
-        return (nearest > farthest and self.kept >= self.most) or (nearest > self.radius and self.kept >= self.least)
-
-    def wants(self, far: float, farthest: float) -> bool:
-        return self.kept < self.most or far < farthest
-
-    def overfull(self) -> bool:
-        return self.kept > self.most
-
-    def chosen(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        return [x for x in found if x[0] <= self.radius][: self.most]
-
-
-class Documents(Stop):
-    """The closest vectors of ``documents`` documents; ``doc_of`` has each label's document, ``wide`` more documents are looked at."""
-
-    def __init__(self, doc_of: dict[int, int], documents: int, wide: int = 10):
-        self.doc_of, self.documents, self.wide = doc_of, documents, max(wide, documents)
-        self.vectors: dict[int, int] = {}
-
-    def added(self, label: int, far: float) -> None:
-        doc = self.doc_of[label]
-        self.vectors[doc] = self.vectors.get(doc, 0) + 1
-
-    def removed(self, label: int, far: float) -> None:
-        doc = self.doc_of[label]
-        self.vectors[doc] -= 1
-        if not self.vectors[doc]:
-            del self.vectors[doc]
-
-    def ends(self, nearest: float, farthest: float) -> bool:
-        return nearest > farthest and len(self.vectors) >= self.wide
-
-    def wants(self, far: float, farthest: float) -> bool:
-        return len(self.vectors) < self.wide or far < farthest
-
-    def overfull(self) -> bool:
-        return len(self.vectors) > self.wide
-
-    def chosen(self, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        docs: set[int] = set()
-        for k, (_, label) in enumerate(found):
-            docs.add(self.doc_of[label])
-            if len(docs) > self.documents:
-                return found[:k]
-        return found
+def _run(found: Iterable[tuple[float, int]], doc_of: dict[int, int], documents: int) -> Iterator[tuple[float, int]]:
+    """What stands before the first vector of one document too many."""
+    docs: set[int] = set()
+    for x in found:
+        docs.add(doc_of[x[1]])
+        if len(docs) > documents:
+            return
+        yield x
 
 
 class Graph:
@@ -259,44 +179,60 @@ class Graph:
         found = self._beam(q, [self._descend(q, 0)], 0, max(ef, k), keep)
         return sorted((d, self.labels[x]) for d, x in found)[:k]
 
-    def search_until(self, q: Iterable[float], stop: Stop, allowed: Callable[[int], bool] | None = None) -> list[tuple[float, int]]:
-        """``(distance, label)``, closest first, of a walk that ``stop`` ends."""
+    def walk(self, q: Iterable[float], allowed: Callable[[int], bool] | None = None) -> Iterator[tuple[float, int]]:
+        """``(distance, label)`` of vectors near ``q``, each time the closest one met and not given out yet.
+
+        The walk goes on from what it gives out, so distances rise but for
+        shortcuts found late, and a caller ends it when it has seen enough.  Left
+        alone it gives out all vectors that links lead to.  Deleted ones and
+        those not ``allowed`` are walked through only.
+        """
         if self.entry < 0:
-            return []
+            return
         q = self._prepared(q)
         start = self._descend(q, 0)
-        waiting, kept, seen = [(float(self.far(q, [start])[0]), start)], [], {start}
-
-        def keep(far: float, node: int) -> None:
+        front, met = [(float(self.far(q, [start])[0]), start)], {start}
+        while front:
+            far, node = heapq.heappop(front)
+            self.hops += 1
+            new = [x for x in self.links[node][0] if x not in met]
+            met.update(new)
+            for x in zip(self.far(q, new).tolist() if new else [], new):
+                heapq.heappush(front, x)
             if node not in self.deleted and (allowed is None or allowed(self.labels[node])):
-                heapq.heappush(kept, (-far, node))
-                stop.added(self.labels[node], far)
-                while kept and stop.overfull():
-                    gone, x = heapq.heappop(kept)
-                    stop.removed(self.labels[x], -gone)
-
-        keep(*waiting[0])
-        while waiting:
-            far, node = heapq.heappop(waiting)
-            if kept and stop.ends(far, -kept[0][0]):
+                yield far, self.labels[node]
+
+    def within(self, q: Iterable[float], radius: float, least: int = 64, most: int | None = None, allowed: Callable[[int], bool] | None = None) -> list[tuple[float, int]]:
+        """``(distance, label)`` of vectors within ``radius``, the ``most`` closest ones.
+
+        The walk ends beyond the radius, or beyond ``most`` vectors within it,
+        after ``least`` vectors at least.
+        """
+        inside: list[tuple[float, int]] = []
+        edge: list[float] = []  # distances of the ``most`` closest, negative
+        for seen, x in enumerate(self.walk(q, allowed)):
+            if x[0] <= radius:
+                inside.append(x)
+                if most is not None:
+                    (heapq.heappushpop if len(edge) >= most else heapq.heappush)(edge, -x[0])
+            if seen >= least and (x[0] > radius or (most is not None and len(inside) > most and x[0] > -edge[0])):
                 break
-            self.hops += 1
-            new = [x for x in self.links[node][0] if x not in seen]
-            seen.update(new)
-            for d, x in zip(self.far(q, new).tolist() if new else [], new):
-                if not kept or stop.wants(d, -kept[0][0]):
-                    heapq.heappush(waiting, (d, x))
-                    keep(d, x)
-        return stop.chosen(sorted((-d, self.labels[x]) for d, x in kept))
-
-    def within(self, q: Iterable[float], radius: float, least: int = 64, most: int | None = None) -> list[tuple[float, int]]:
-        """Vectors within ``radius``: the beam widens until its edge lies beyond, ``least`` wide at the start."""
-        ef = least
-        while True:
-            found = self.search(q, ef, ef)
-            if len(found) < ef or found[-1][0] > radius or (most and ef >= 4 * most):
-                return [x for x in found if x[0] <= radius][:most]
-            ef *= 2
+        return sorted(inside)[:most]
+
+    def documents(self, q: Iterable[float], doc_of: dict[int, int], documents: int, wide: int = 10, allowed: Callable[[int], bool] | None = None) -> list[tuple[float, int]]:
+        """``(distance, label)`` of the longest run of closest vectors that has ``documents`` documents at most.
+
+        ``doc_of`` has each label's document.  The walk ends when it has met
+        ``wide`` documents, and one more than are wanted.
+        """
+        found: list[tuple[float, int]] = []
+        met: set[int] = set()
+        for x in self.walk(q, allowed):
+            met.add(doc_of[x[1]])
+            if len(met) > max(wide, documents):
+                break
+            found.append(x)
+        return list(_run(sorted(found), doc_of, documents))
 
     def edges(self) -> Iterator[tuple[int, int, int]]:
         """``level, node, neighbour`` by labels."""
@@ -352,8 +288,25 @@ def shard_by_hash(base: DataFrame, shards: int) -> DataFrame:
     return D.hash_shards(base, shards)
 
 
+def _split(sharded: DataFrame) -> DataFrame:
+    """``sharded`` with ``part`` and ``parts``: shards of over ``SHARD_ROWS`` vectors are split by a hash of the id."""
+    spark = sharded.sparkSession
+    large = [(r["shard"], -(-r["n"] // SHARD_ROWS)) for r in sharded.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_ROWS).collect()]
+    parts = sent(spark.createDataFrame(large, "shard int, parts int"), len(large), 16) if large else None
+    sharded = sharded.withColumn("parts", F.lit(None).cast("int")) if parts is None else sharded.join(parts, "shard", "left")
+    return _with_part(sharded.withColumn("parts", F.coalesce("parts", F.lit(1))))
+
+
+def _with_part(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+
+
 def build(sharded: DataFrame, m: int = 16, ef_build: int = 200, metric: str = "l2", seed: int = 100) -> DataFrame:
-    """``shard, n, graph`` of ``shard, vec_id, embedding``, each graph built in order of id."""
+    """``shard, part, parts, n, graph`` of ``shard, vec_id, embedding``, each graph built in order of id.
+
+    A shard of over ``SHARD_ROWS`` vectors gets several graphs, so a task never
+    holds many more; searches ask all graphs of a shard.
+    """
 
     def one(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
@@ -361,10 +314,21 @@ def build(sharded: DataFrame, m: int = 16, ef_build: int = 200, metric: str = "l
         graph = Graph(len(vectors[0]), m, ef_build, metric, seed)
         for k in order:
             graph.add(ids[k], vectors[k])
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "graph": pa.array([graph.dumped()], pa.binary())})
+        shard, part, parts = (pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("shard", "part", "parts"))
+        return pa.table({"shard": shard, "part": part, "parts": parts, "n": pa.array([len(ids)], pa.int64()), "graph": pa.array([graph.dumped()], pa.binary())})
 
     ship(sharded.sparkSession)
-    return sharded.select("shard", "vec_id", "embedding").groupBy("shard").applyInArrow(one, "shard int, n long, graph binary")
+    return _split(sharded.select("shard", "vec_id", "embedding")).groupBy("shard", "part").applyInArrow(one, "shard int, part int, parts int, n long, graph binary")
+
+
+Asked = Callable[["Graph", list[float], dict | None], list[tuple[float, int]]]
+
+
+def _of_shards(graphs: DataFrame, rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """``graphs`` with the values of the rows (shard, vec_id) of each graph in one array, as many as it has vectors at most."""
+    parts = graphs.select("shard", "parts").distinct()
+    placed = _with_part(rows.join(parts, "shard")).groupBy("shard", "part").agg(F.collect_list(value).alias(name))
+    return graphs.join(placed, ["shard", "part"])
 
 
 def search_shards(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int = 50, allowed: DataFrame | None = None) -> DataFrame:
@@ -373,33 +337,69 @@ def search_shards(graphs: DataFrame, queries: DataFrame, k: int = 10, ef: int =
     ``allowed`` (shard, vec_id), if given, has the only vectors to be found;
     the walk leads through the others all the same.
     """
-    graphs = graphs.withColumn("asked", F.lit(None).cast("array<long>"))
-    if allowed is not None:
-        graphs = graphs.join(allowed.groupBy("shard").agg(F.collect_list("vec_id").alias("allowed")), "shard")
-    return top_k(_searched(graphs, queries, k, ef), k).select("query_id", "rank", "vec_id", "dist")
+    graphs = graphs if allowed is None else _of_shards(graphs, allowed, F.col("vec_id"), "allowed")
+    return top_k(_searched(graphs, queries, _k_closest(k, ef)), k).select("query_id", "rank", "vec_id", "dist")
+
+
+def search_within(graphs: DataFrame, queries: DataFrame, radius: float, least: int = 64, most: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, dist`` of the vectors within ``radius``, or the ``most`` closest of them.
+
+    In each graph the walk ends beyond the radius, after ``least`` vectors at
+    least; with ``least`` as large as the largest graph the result is exact.
+    """
+    found = _searched(graphs, queries, lambda graph, q, _: graph.within(q, radius, least, most))
+    if most:
+        return top_k(found, most).select("query_id", "rank", "vec_id", "dist")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).select("query_id", "rank", "vec_id", "dist")
+
+
+def search_documents(graphs: DataFrame, queries: DataFrame, owners: DataFrame, documents: int, wide: int = 10) -> DataFrame:
+    """``query_id, rank, vec_id, doc_id, dist``: the longest run of closest vectors that has ``documents`` documents at most.
+
+    ``owners`` (shard, vec_id, doc_id) has each vector's document.  Every graph
+    gives its own run; the run over all is within them, as a graph meets no more
+    documents within a distance than all graphs together.  With ``wide`` as
+    large as the number of documents the result is exact.
+    """
+    graphs = _of_shards(graphs, owners, F.struct("vec_id", "doc_id"), "owned")
+    found = _searched(graphs, queries, lambda graph, q, doc_of: graph.documents(q, doc_of, documents, wide))
+    by_query = Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("dist", "vec_id")) == 1
+    runs = found.withColumn("first", first.cast("int")).withColumn("docs", F.sum("first").over(by_query.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.withColumn("rank", F.row_number().over(by_query)).where(F.col("docs") <= documents).select("query_id", "rank", "vec_id", "doc_id", "dist")
+
 
+def _k_closest(k: int, ef: int) -> Asked:
+    return lambda graph, q, only: graph.search(q, k, ef, None if only is None else only.__contains__)
 
-def _searched(graphs: DataFrame, queries: DataFrame, k: int, ef: int) -> DataFrame:
-    """Results within each shard, for the queries in ``asked`` (null: all), of the vectors in ``allowed`` (no such column: all)."""
+
+def _searched(graphs: DataFrame, queries: DataFrame, ask: Asked) -> DataFrame:
+    """What ``ask`` finds in each graph, for the queries in ``asked`` (null or no such column: all).
+
+    It gets the graph, a query, and the graph's vectors in ``allowed`` or the
+    documents of those in ``owned``, if there is such a column.
+    """
     parts = blocks(queries, 8 * 1024)
     if len(parts) > 1:
-        return union([_searched(graphs, part, k, ef) for part in parts])
+        return union([_searched(graphs, part, ask) for part in parts])
     table = queries.select("query_id", "q").toArrow()
     ship(graphs.sparkSession)
     spread = graphs.sparkSession.sparkContext.broadcast(dict(zip(table.column("query_id").to_pylist(), table.column("q").to_pylist())))
+    owned = "owned" in graphs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            allowed = batch.column("allowed").to_pylist() if "allowed" in batch.schema.names else [None] * batch.num_rows
-            for data, asked, only in zip(batch.column("graph"), batch.column("asked"), allowed):
-                graph, asked = Graph.loaded(data.as_py()), asked.as_py()
-                keep = None if only is None else set(only).__contains__
+            for row in range(batch.num_rows):
+                cells = {name: batch.column(name)[row] for name in batch.schema.names}
+                graph, asked = Graph.loaded(cells["graph"].as_py()), cells["asked"].as_py() if "asked" in cells else None
+                only = {label: label for label in cells["allowed"].as_py()} if "allowed" in cells else {x["vec_id"]: x["doc_id"] for x in cells["owned"].as_py()} if owned else None
                 wanted = spread.value if asked is None else [query for query in asked if query in spread.value]
-                rows = [(query, label, d) for query in wanted for d, label in graph.search(spread.value[query], k, ef, keep)]
-                columns = list(zip(*rows)) if rows else [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "dist"])
+                rows = [(query, label, d, *([only[label]] if owned else [])) for query in wanted for d, label in ask(graph, spread.value[query], only)]
+                columns = list(zip(*rows)) if rows else [[]] * (4 if owned else 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["query_id", "vec_id", "dist", "doc_id"][: len(columns)])
 
-    return graphs.select("graph", "asked", *[c for c in graphs.columns if c == "allowed"]).mapInArrow(run, "query_id long, vec_id long, dist double")
+    wanted = [c for c in ("graph", "asked", "allowed", "owned") if c in graphs.columns]
+    return graphs.select(*wanted).mapInArrow(run, "query_id long, vec_id long, dist double" + (", doc_id long" if owned else ""))
 
 
 def search_lists(graphs: DataFrame, queries: DataFrame, centroids: kmeans.Centroids, k: int = 10, nprobe: int = 10, ef: int = 50, base: DataFrame | None = None, factor: int = 3) -> DataFrame:
@@ -410,7 +410,7 @@ def search_lists(graphs: DataFrame, queries: DataFrame, centroids: kmeans.Centro
     """
     asked = ivf.probes(queries, centroids, nprobe).groupBy(F.col("cid").alias("shard")).agg(F.sort_array(F.collect_list("query_id")).alias("asked"))
     most = k * factor if base is not None else k
-    best = top_k(_searched(graphs.join(asked, "shard"), queries, most, max(ef, most)), most)
+    best = top_k(_searched(graphs.join(asked, "shard"), queries, _k_closest(most, max(ef, most))), most)
     if base is None:
         return best.select("query_id", "rank", "vec_id", "dist")
     from .pq import rerank

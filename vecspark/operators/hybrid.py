@@ -22,36 +22,52 @@ def train(base: DataFrame, centroids: kmeans.Centroids, m: int = 8, ks: int = 25
 
 
 def build(base: DataFrame, centroids: kmeans.Centroids, book: pq.Codebook) -> DataFrame:
-    """``vec_id, embedding, cid, code`` with the code of each vector's residual."""
-    return pq.encode(residuals(ivf.build(base, centroids), centroids), book, "residual").drop("residual")
+    """``vec_id, embedding, cid, code, terms`` with the code of each vector's residual, and what a score needs of list and code alone."""
+    coded = pq.encode(residuals(ivf.build(base, centroids), centroids), book, "residual").drop("residual")
+    return with_terms(coded, centroids, book)
 
 
-def _legacy(c: Column, r: Column, w: Column) -> Column:
-    """<c, w> + 2 |w|^2 - 2 <r, w> + |r|^2 of one block."""
-    return D.dot(c, w) + F.lit(2.0) * D.dot(w, w) - F.lit(2.0) * D.dot(r, w)
+def with_terms(index: DataFrame, centroids: kmeans.Centroids, book: pq.Codebook) -> DataFrame:
+    """``index`` with ``terms``: sums over the code's words w of 2 <c, w> + |w|^2 and, for older scores, 3 <c, w> + 2 |w|^2.
+
+    With q the query and c the centroid, |q - c - w|^2 = |q - c|^2 - 2 <q, w> +
+    2 <c, w> + |w|^2: only the first two parts depend on the query, and none of
+    them on query and code and list at once.  So the tables of a list shrink to
+    one number for each of its vectors.
+    """
+    rows = pq.with_codebook(index, book).join(F.broadcast(kmeans.centroid_table(index.sparkSession, centroids)), "cid")
+    word = F.transform("code", lambda k, m: F.get(F.get(F.col("book"), m), k.cast("int")))
+
+    def total(term: D.Distance) -> Column:
+        return F.aggregate(F.transform(word, lambda w, m: term(D.subvector(F.col("c"), m, book.size), w)), F.lit(0.0), lambda s, x: s + x)
+
+    both, squares = total(D.dot), total(lambda c, w: D.dot(w, w))
+    return rows.withColumn("terms", F.array(F.lit(2.0) * both + squares, F.lit(3.0) * both + F.lit(2.0) * squares)).drop("book", "c")
 
 
 def scores(index: DataFrame, queries: DataFrame, centroids: kmeans.Centroids, book: pq.Codebook, nprobe: int = 10, score: str = "residual") -> DataFrame:
     """``query_id, vec_id, dist`` of the codes in the probed lists.
 
     ``residual``: the squared distance of the query's residual to the code's
-    words.  ``legacy``: a formula with other weights, for comparison only.
+    words.  ``legacy``: a formula with other weights, for comparison only.  A
+    query's inner products with all words and its distances to its lists go to
+    the index, in blocks of checked size.
     """
-    asked = ivf.probes(queries, centroids, nprobe).select("query_id", "cid").join(queries, "query_id")
-    asked = asked.join(F.broadcast(kmeans.centroid_table(index.sparkSession, centroids)), "cid").withColumn("r", D.residual(F.col("q"), F.col("c")))
-    if score == "residual":
-        asked = pq.tables(asked, book, D.squared_l2, "r").select("query_id", "cid", "lut", F.lit(0.0).alias("more"))
-    else:
-        size = book.size
-        lut = F.transform("book", lambda words, m: F.transform(words, lambda w: _legacy(D.subvector(F.col("c"), m, size), D.subvector(F.col("r"), m, size), w)))
-        asked = pq.with_codebook(asked, book).select("query_id", "cid", lut.alias("lut"), (D.dot(F.col("r"), F.col("r")) * F.lit(float(book.m))).alias("more"))
-    return index.select("vec_id", "cid", "code").join(asked, "cid").select("query_id", "vec_id", (F.col("more") + pq.looked_up(F.col("lut"), F.col("code"))).alias("dist"))
+    if "terms" not in index.columns:
+        index = with_terms(index, centroids, book)
+    chosen = ivf.probes(queries, centroids, nprobe).select("query_id", "cid", F.col("dist").alias("to_list"))
+    tables = pq.tables(queries, book).select("query_id", "lut")
+    near = ivf.at_lists(index.select("vec_id", "cid", "code", "terms"), tables, chosen, 24 * nprobe, 8 * book.m * len(book.words[0]))
+    weight, term = (1.0, 0) if score == "residual" else (float(book.m), 1)
+    dist = F.lit(weight) * F.col("to_list") - F.lit(2.0) * pq.looked_up(F.col("lut"), F.col("code")) + F.col("terms")[term]
+    return near.select("query_id", "vec_id", dist.alias("dist"))
 
 
 def search(index: DataFrame, queries: DataFrame, centroids: kmeans.Centroids, book: pq.Codebook, k: int = 10, nprobe: int = 10, candidates: int = 500, score: str = "residual", exact: bool = True) -> DataFrame:
     """The best candidates by code in the probed lists; with ``exact``, the k closest of them by squared distance."""
-    best = top_k(scores(index, queries, centroids, book, nprobe, score), max(candidates or 3 * k, k) if exact else k)
-    return pq.rerank(best, index, queries, k, "l2") if exact else best.select("query_id", "rank", "vec_id", "dist")
+    most = max(candidates or 3 * k, k) if exact else k
+    best = top_k(scores(index, queries, centroids, book, nprobe, score), most)
+    return pq.rerank(best, index, queries, k, "l2", most) if exact else best.select("query_id", "rank", "vec_id", "dist")
 
 
 def code_lists(codes: DataFrame, k: int, iterations: int = 20) -> tuple[kmeans.Centroids, DataFrame]:
@@ -68,7 +84,9 @@ def search_code_lists(index: DataFrame, queries: DataFrame, centroids: kmeans.Ce
     """Lists are chosen by the query's own code, codes scored by inner product, candidates re-ranked by squared distance."""
     coded = pq.encode(queries, book, "q")
     chosen = ivf.probes(coded.select("query_id", F.col("code").alias("q")), centroids, nprobe).select("query_id", "cid")
-    asked = chosen.join(pq.tables(queries, book).select("query_id", "lut"), "query_id")
-    near = index.join(asked, "cid").select("query_id", "vec_id", (F.lit(1.0) - pq.looked_up(F.col("lut"), F.col("code"))).alias("dist"))
-    best = top_k(near, max(candidates, k) if exact else k)
-    return pq.rerank(best, index, queries, k, "l2") if exact else best.select("query_id", "rank", "vec_id", "dist")
+    tables = pq.tables(queries, book).select("query_id", "lut")
+    near = ivf.at_lists(index.select("vec_id", "cid", "code"), tables, chosen, 16 * nprobe, 8 * book.m * len(book.words[0]))
+    near = near.select("query_id", "vec_id", (F.lit(1.0) - pq.looked_up(F.col("lut"), F.col("code"))).alias("dist"))
+    most = max(candidates, k) if exact else k
+    best = top_k(near, most)
+    return pq.rerank(best, index, queries, k, "l2", most) if exact else best.select("query_id", "rank", "vec_id", "dist")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as D
 from .kmeans import Centroids, assign, with_centroids
-from .sizes import sent
+from .sizes import blocks, union
 from .topk import top_k
 
 
@@ -23,17 +23,28 @@ def probes(queries: DataFrame, centroids: Centroids, nprobe: int = 10) -> DataFr
     return found.select("query_id", (F.col("at") + 1).alias("rank"), "x.cid", "x.dist")
 
 
-def search(index: DataFrame, queries: DataFrame, chosen: DataFrame, k: int = 10, metric: str | D.Distance = "l2", rows: int | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, chosen: DataFrame, k: int = 10, metric: str | D.Distance = "l2", lists: int = 1024) -> DataFrame:
     """The k closest vectors of the lists ``chosen`` (query_id, cid) for each query.
 
-    ``rows``, if known, is the number of rows of ``chosen``; if they are few
-    enough they are sent to the lists, else the join shuffles by list.
+    Queries and what they ask for go to the vectors, in blocks of checked size
+    (``lists`` bounds the lists of a query), so the index stays where it is.
     """
-    asked = chosen.select("query_id", "cid").join(queries, "query_id")
-    if rows is not None:
-        asked = sent(asked, rows, 16 + 8 * 1024)
-    near = index.join(asked, "cid").withColumn("dist", D.metric(metric)(F.col("q"), F.col("embedding")))
-    return top_k(near, k).select("query_id", "rank", "vec_id", "dist")
+    measure = D.metric(metric)
+    return top_k(at_lists(index, queries, chosen.select("query_id", "cid"), 16 * lists).withColumn("dist", measure(F.col("q"), F.col("embedding"))), k).select("query_id", "rank", "vec_id", "dist")
+
+
+def at_lists(index: DataFrame, queries: DataFrame, chosen: DataFrame, asked_bytes: int, query_bytes: int = 8 * 1024, by: str = "cid") -> DataFrame:
+    """``index`` joined by ``by`` with ``chosen`` (query_id, by), and with the queries' other columns.
+
+    Both travel to the index, for one block of queries after the other;
+    ``asked_bytes`` bounds what is chosen for a query, ``query_bytes`` its row.
+    """
+    parts = blocks(queries, asked_bytes + query_bytes)
+    found = []
+    for part in parts:
+        asked = chosen if len(parts) == 1 else chosen.join(F.broadcast(part.select("query_id")), "query_id", "left_semi")
+        found.append(index.join(F.broadcast(asked), by).join(F.broadcast(part), "query_id"))
+    return union(found)
 
 
 def pruned(index: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -55,7 +66,7 @@ def grouped_queries(found: DataFrame, batch: int = 64) -> list[list[int]]:
 
     The first query left begins a group and takes the ones that share most lists
     with it, ties by query id.  The order is serial by nature: this runs on the
-    driver, over the probes of one stated block of queries.
+    driver, over the probes of one block of queries (``search_in_groups``).
     """
     lists = {r["query_id"]: set(r["cids"]) for r in found.groupBy("query_id").agg(F.collect_set("cid").alias("cids")).collect()}
     left, groups = sorted(lists), []
@@ -78,5 +89,6 @@ def shared_probes(found: DataFrame, batch: int, nprobe: int) -> DataFrame:
 
 
 def search_in_groups(index: DataFrame, queries: DataFrame, centroids: Centroids, k: int = 10, nprobe: int = 10, batch: int = 64) -> DataFrame:
-    """Every query scans the lists that its group shares."""
-    return search(index, queries, shared_probes(probes(queries, centroids, nprobe), batch, nprobe), k)
+    """Every query scans the lists that its group shares; groups are made within blocks of 1024 queries or a few more."""
+    found = [search(index, part, shared_probes(probes(part, centroids, nprobe), batch, nprobe), k, lists=2 * nprobe) for part in blocks(queries, 8 * 1024, 1024)]
+    return union(found)

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import distance as D
 from ..workers import ship
-from . import kmeans
-from .sizes import blocks, sent, union
+from . import ivf, kmeans
+from .sizes import blocks, union
 from .topk import top_k
 
 
@@ -79,12 +79,7 @@ def train(base: DataFrame, m: int = 8, ks: int = 256, iterations: int = 20, vect
     size = dim // m
     book = Codebook(tuple(tuple(tuple(row[p * size : (p + 1) * size].tolist()) for row in start[:ks]) for p in range(m)))
     for _ in range(iterations):
-        coded = with_codebook(base, book).select(F.posexplode(code(F.col(vector), m, size)).alias("m", "k"), F.col(vector).alias("v"))
-        values = coded.select("m", "k", F.posexplode(D.subvector(F.col("v"), F.col("m"), size)).alias("i", "x"))
-        unit = F.round(F.col("x") * F.lit(1e9)).cast("long")
-        found = values.groupBy("m", "k", "i").agg((F.sum(unit).cast("double") / F.count("*").cast("double") / F.lit(1e9)).alias("v"))
-        rows = found.groupBy("m", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("cw")).collect()
-        means = {(r["m"], r["k"]): tuple(r["cw"]) for r in rows}
+        means = _means(base, book, vector)
         now = Codebook(tuple(tuple(means.get((p, k), word) for k, word in enumerate(words)) for p, words in enumerate(book.words)))
         if now == book:
             break
@@ -92,6 +87,39 @@ def train(base: DataFrame, m: int = 8, ks: int = 256, iterations: int = 20, vect
     return book
 
 
+def _nearest_words(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Rows by subspaces: the nearest codeword of each block of each vector, of equal ones the first."""
+    m, _, size = words.shape
+    parts = x.reshape(len(x), m, size)
+    return np.stack([((words[p] ** 2).sum(1)[None] - 2 * parts[:, p] @ words[p].T).argmin(1) for p in range(m)], 1)
+
+
+def _means(base: DataFrame, book: Codebook, vector: str) -> dict[tuple[int, int], tuple[float, ...]]:
+    """Means of the blocks next to each codeword; tasks add up integers (units of 1e-9), so their order doesn't count."""
+    ship(base.sparkSession)
+    sent = base.sparkSession.sparkContext.broadcast(np.array(book.words))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        m, ks, size = words.shape
+        sums, counts = np.zeros((m, ks, size), np.int64), np.zeros((m, ks), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            near, units = _nearest_words(x, words), np.rint(x * 1e9).astype(np.int64).reshape(len(x), m, size)
+            for p in range(m):
+                np.add.at(sums[p], near[:, p], units[:, p])
+                counts[p] += np.bincount(near[:, p], minlength=ks)
+        p, k = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(counts[p, k]), pa.array(list(sums[p, k]), pa.list_(pa.int64()))], ["m", "k", "n", "sums"])
+
+    parts = base.select(vector).mapInArrow(add, "m int, k int, n long, sums array<long>")
+    size = book.size
+    rows = parts.groupBy("m", "k").agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(size)]).collect()
+    return {(r["m"], r["k"]): tuple(r[f"s{i}"] / r["n"] / 1e9 for i in range(size)) for r in rows}
+
+
 def encode(base: DataFrame, book: Codebook, vector: str = "embedding") -> DataFrame:
     """``base`` with ``code``."""
     return with_codebook(base, book).withColumn("code", code(F.col(vector), book.m, book.size)).drop("book")
@@ -108,9 +136,8 @@ def encode_by_product(base: DataFrame, book: Codebook, vector: str = "embedding"
         words = spread.value
         m, _, size = words.shape
         for batch in batches:
-            x = np.array(batch.column(vector).to_pylist(), np.float64).reshape(batch.num_rows, m, size)
-            found = [((words[p] ** 2).sum(1)[None] - 2 * x[:, p] @ words[p].T).argmin(1) for p in range(m)]
-            codes = np.stack(found, 1).astype(np.int16) if batch.num_rows else np.zeros((0, m), np.int16)
+            x = np.array(batch.column(vector).to_pylist(), np.float64).reshape(batch.num_rows, m * size)
+            codes = _nearest_words(x, words).astype(np.int16)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int16()))], schema.names)
 
     return base.mapInArrow(compute, schema)
@@ -127,16 +154,13 @@ def looked_up(lut: Column, code: Column) -> Column:
     return F.aggregate(F.zip_with(lut, code, lambda row, k: F.get(row, k.cast("int"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str | D.Distance = "ip", rows: int | None = None) -> DataFrame:
-    """The k closest of the candidates (query_id, vec_id) by their vectors.
+def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str | D.Distance = "ip", most: int = 1024) -> DataFrame:
+    """The k closest of the candidates (query_id, vec_id), ``most`` of a query at most, by their vectors.
 
-    ``rows``, if known, bounds the number of candidates; few ones are sent to
-    the vectors.
+    Ids of candidates and queries go to the vectors in blocks of checked size.
     """
-    asked = candidates.select("query_id", "vec_id").join(queries, "query_id")
-    asked = asked if rows is None else sent(asked, rows, 16 + 8 * 1024)
-    exact = base.select("vec_id", "embedding").join(asked, "vec_id").withColumn("dist", D.metric(metric)(F.col("q"), F.col("embedding")))
-    return top_k(exact, k).select("query_id", "rank", "vec_id", "dist")
+    near = ivf.at_lists(base.select("vec_id", "embedding"), queries, candidates.select("query_id", "vec_id"), 16 * most, by="vec_id")
+    return top_k(near.withColumn("dist", D.metric(metric)(F.col("q"), F.col("embedding"))), k).select("query_id", "rank", "vec_id", "dist")
 
 
 def scores(codes: DataFrame, queries: DataFrame, book: Codebook) -> DataFrame:
@@ -149,4 +173,4 @@ def scores(codes: DataFrame, queries: DataFrame, book: Codebook) -> DataFrame:
 def search(codes: DataFrame, base: DataFrame, queries: DataFrame, book: Codebook, k: int = 10, candidates: int = 0) -> DataFrame:
     """The best ``candidates`` by code (3 k if 0, k at least), then the k closest of them by inner product."""
     most = max(candidates or 3 * k, k)
-    return rerank(top_k(scores(codes, queries, book), most), base, queries, k)
+    return rerank(top_k(scores(codes, queries, book), most), base, queries, k, most=most)

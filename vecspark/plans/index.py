@@ -154,7 +154,9 @@ class GraphIndex(FlatIndex):
         if self.stale:
             new = hnsw.build(self._sharded().where(F.col("shard").isin(self.stale)), self.m, self.ef_construction, "cosine" if self.space == "cosine" else self.space, self.seed)
             old = None if self.graphs is None else self.graphs.where(~F.col("shard").isin(self.stale))
-            self.graphs, self.stale = (new if old is None else old.unionByName(new)).persist(), []
+            graphs = new if old is None else old.unionByName(new)
+            kept = graphs.checkpoint() if self.spark.sparkContext.getCheckpointDir() else graphs.persist()  # in the shared folder, graphs outlive their executors
+            self.graphs, self.stale = kept, []
         return self.graphs
 
     def _search(self, queries: DataFrame, k: int, allowed: Column | None) -> DataFrame:

@@ -151,7 +151,10 @@ def filtered_knn_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(flat.knn(base, queries, K, deleted=base.where("label = 0").select("vec_id")))
 
 
-@query("range_search_l2", S.select([S.QUERIES, S.pairs(S.l2("q.q", "e.embedding")), f"r as (select *, row_number() over (partition by query_id order by dist, vec_id) as rank from d where dist <= {RADIUS})"], S.out("r")))
+IN_RADIUS = S.select([S.QUERIES, S.pairs(S.l2("q.q", "e.embedding")), f"r as (select *, row_number() over (partition by query_id order by dist, vec_id) as rank from d where dist <= {RADIUS})"], S.out("r"))
+
+
+@query("range_search_l2", IN_RADIUS)
 def range_search_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(flat.within(*_both(spark, sf_dir), RADIUS))
 
@@ -161,17 +164,20 @@ def range_search_most(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(flat.within(*_both(spark, sf_dir), RADIUS, most=5))
 
 
-@query(
-    "multivector_topdocs",
-    S.select(
+TOP_DOCS = S.select(
         [S.QUERIES, f"d as (select q.query_id, e.vec_id, e.label, {S.l2('q.q', 'e.embedding')} as dist from q, embeddings e)",
          "f as (select *, (row_number() over (partition by query_id, label order by dist, vec_id) = 1)::int as fresh from d)",
          "r as (select *, row_number() over w as rank, sum(fresh) over (partition by query_id order by dist, vec_id rows between unbounded preceding and current row) as docs from f window w as (partition by query_id order by dist, vec_id))"],
         "select query_id, rank, vec_id, label::bigint as doc_id, round(dist, 6) as dist from r where docs <= 5",
-    ),
 )
+
+
+@query("multivector_topdocs", TOP_DOCS)
 def multivector_topdocs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = flat.distinct_documents(*_both(spark, sf_dir), 5, doc="label")
+    return _documents_out(flat.distinct_documents(*_both(spark, sf_dir), 5, doc="label"))
+
+
+def _documents_out(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("doc_id").cast("long").alias("doc_id"), F.round("dist", 6).alias("dist"))
 
 
@@ -221,7 +227,7 @@ def vector_hash_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _centroids(spark: SparkSession, sf_dir: str, k: int = CLUSTERS, rounds: int = ROUNDS) -> kmeans.Centroids:
     base = _base(spark, sf_dir)
-    return kmeans.lloyd(base, kmeans.first_rows(base, k), rounds)
+    return kmeans.lloyd(base, kmeans.first_rows(base, k), rounds, method="product")
 
 
 KM = S.kmeans(CLUSTERS, ROUNDS)
@@ -432,8 +438,36 @@ def hnsw_exhaustive_ef(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a beam as wide as the largest graph, the result is exact."""
     base, queries = _both(spark, sf_dir)
     sharded = hnsw.shard_in_turn(base, 4)
-    widest = sharded.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    return _out(hnsw.search_shards(hnsw.build(sharded, ef_build=100), queries, K, max(K, widest)))
+    return _out(hnsw.search_shards(hnsw.build(sharded, ef_build=100), queries, K, max(K, _widest(sharded))))
+
+
+def _widest(sharded: DataFrame) -> int:
+    return sharded.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+
+
+@query("hnsw_filtered_exhaustive", _knn_sql(S.l2("q.q", "e.embedding"), "e.label in (2, 5)"))
+def hnsw_filtered_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks lead through all vectors and keep those of two labels."""
+    base, queries = _both(spark, sf_dir)
+    sharded = hnsw.shard_in_turn(base, 4)
+    return _out(hnsw.search_shards(hnsw.build(sharded, ef_build=100), queries, K, max(K, _widest(sharded)), sharded.where("label in (2, 5)")))
+
+
+@query("hnsw_range_exhaustive", IN_RADIUS)
+def hnsw_range_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks that end at a radius, after as many vectors as the largest graph has."""
+    base, queries = _both(spark, sf_dir)
+    sharded = hnsw.shard_in_turn(base, 4)
+    return _out(hnsw.search_within(hnsw.build(sharded, ef_build=100), queries, RADIUS, _widest(sharded)))
+
+
+@query("hnsw_topdocs_exhaustive", TOP_DOCS)
+def hnsw_topdocs_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks that end at a number of documents, having met all of them."""
+    base, queries = _both(spark, sf_dir)
+    sharded = hnsw.shard_in_turn(base, 4)
+    graphs = hnsw.build(sharded, ef_build=100)
+    return _documents_out(hnsw.search_documents(graphs, queries, sharded.select("shard", "vec_id", F.col("label").alias("doc_id")), 5, base.select("label").distinct().count()))
 
 
 @query("hnsw_knn")
