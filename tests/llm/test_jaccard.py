@@ -87,6 +87,35 @@ def test_small_blocks(spark, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_passages_connect_nobody(spark):
+    """Documents that share a long passage are no crowd: what they have of their own stands first."""
+    random.seed(5)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, " ".join(f"w{random.randrange(10**6)}" for _ in range(90)) + " " + passage) for k in range(80)]
+    rows += [(100 + k, rows[k][1] + " end") for k in range(5)]
+    docs = table(spark, rows)
+    counts = jaccard.shingle_counts(docs, 4)
+    assert counts.sum() == sum(n for n, _, _ in brute(rows, 4, 85).values())
+    sets = {r["doc_id"]: r["prefix"] for r in jaccard._sets(docs, 4, 85, counts).collect()}
+    assert not set.intersection(*(set(sets[k]) for k in range(80)))
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in jaccard.join(docs, 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_bands(spark, monkeypatch):
+    """A crowd of many sizes, over bands and blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 9)
+    random.seed(6)
+    base = [f"v{k}" for k in range(140)]
+    rows = []
+    for k in range(90):
+        w = base[: random.randrange(40, 140)]
+        w[random.randrange(len(w))] = f"x{random.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in jaccard.join(table(spark, rows), 4, 70).collect()}
+    assert got == brute(rows, 4, 70)
+
+
 def test_odd_tables(spark):
     rows = odd_rows()
     docs = table(spark, rows).selectExpr("*", "1 as set", "2 as component_id", "3 as n")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..workers import ship
 
@@ -57,22 +59,33 @@ def stage(df: DataFrame, name: str = "stage", few: bool = False) -> DataFrame:
 
 
 def staged_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a staged table."""
+    """Bytes of the files behind a staged table, from one listing of each folder."""
     jvm = df.sparkSession.sparkContext._jvm
     conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for name in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    paths = [jvm.org.apache.hadoop.fs.Path(name) for name in folders]
+    return sum(path.getFileSystem(conf).getContentSummary(path).getLength() for path in paths)
+
+
+#: What a value takes in memory at least, beside the characters of texts and arrays.
+ROW_BYTES, VALUE_BYTES = 16, 8
 
 
-def small(df: DataFrame, limit: int = 16 << 20) -> DataFrame:
-    """A staged table, marked for broadcast if its files are at most ``limit`` bytes.
+def small(df: DataFrame, limit: int = 16 << 20, in_memory: int = 64 << 20) -> DataFrame:
+    """A staged table, marked for broadcast if its files are at most ``limit`` bytes and its rows ``in_memory`` bytes.
 
-    Beyond the limit the table stays as it is and the join shuffles.
+    Files may be compressed to a fraction of what their rows take, so rows are
+    counted where the files are small: each is taken to need 16 bytes, 8 for
+    each column, and as much again for texts and arrays as files have at four
+    times their size.  Beyond a limit the table stays as it is and the join
+    shuffles.
     """
-    return F.broadcast(df) if staged_bytes(df) <= limit else df
+    size = staged_bytes(df)
+    if size > limit:
+        return df
+    wide = any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)) for f in df.schema.fields)
+    needed = df.count() * (ROW_BYTES + VALUE_BYTES * len(df.columns)) + (4 * size if wide else 0)
+    return F.broadcast(df) if needed <= in_memory else df
 
 
 def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
@@ -115,6 +128,42 @@ def held(name: str, make: Callable[[], object]):
     return _held[name]
 
 
+#: Numbers in a block of a vector that tasks add up.
+BLOCK = 8192
+
+
+def in_blocks(vector: np.ndarray) -> pa.RecordBatch:
+    """A vector of integers as rows (block, values) for ``added_up``; blocks of zeros are left out."""
+    vector = vector.astype(np.int64)
+    blocks = [(k // BLOCK, vector[k : k + BLOCK].tobytes()) for k in range(0, len(vector), BLOCK) if vector[k : k + BLOCK].any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([v for _, v in blocks], pa.binary())], ["block", "values"])
+
+
+def added_up(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the vectors of ``size`` integers that tasks gave in blocks, added up in two rounds.
+
+    The driver gets one vector of fixed size.  Sums of integers are the same
+    whichever tasks there are and however they end.
+    """
+    spark = rows.sparkSession
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, values in zip(batch.column("block").to_pylist(), batch.column("values")):
+                values = np.frombuffer(values.as_py(), np.int64)
+                sums[block] = sums[block] + values if block in sums else values
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "values"])
+
+    n = partitions(spark)
+    half = rows.repartition(n).transform(in_arrow, add, "block int, values binary")
+    found = half.repartition(n, "block").transform(in_arrow, add, "block int, values binary").toArrow()
+    total = np.zeros(size, np.int64)
+    for block, values in zip(found.column("block").to_pylist(), found.column("values").to_pylist()):
+        total[block * BLOCK : block * BLOCK + len(values) // 8] = np.frombuffer(values, np.int64)
+    return total
+
+
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns, and all others in one, so that none meets a working column of the same name."""
     return docs.select(*needed, F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in needed]).alias("_others"))

@@ -1,35 +1,42 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
-A document is its set of distinct word shingles, put in order by their hashes.
-Two documents of the wanted similarity share at least one shingle among their
-first few ones (their prefixes); with prefixes longer by l - 1 shingles they
-share at least l.  Each document gets the l for which its estimated candidates
-cost least: a longer prefix meets more other documents, but a candidate has to
-match more often before it is verified.
+A document is its set of distinct word shingles, put in order of how often they
+occur: rare ones first, by a table of counts of fixed size that shingles are
+hashed into, equal counts by hash.  So what many documents share (passages,
+licences) stands behind what tells them apart.  Two documents of the wanted
+similarity share at least one shingle among their first few ones (their
+prefixes); with prefixes longer by l - 1 shingles they share at least l.  Each
+document gets the l for which its estimated candidates cost least: a longer
+prefix meets more other documents, but a candidate has to match more often
+before it is verified.
 
 Shingles that more than ``COMMON`` sets have in their longest prefixes (of
-passages that many documents share, or of large groups of copies) meet nobody.
-As a pair can share no more of them than the one that has fewer, so many matches
-less are asked of the others.  Where a document's longest prefix still has too
-many, it is a crowded one; crowded documents are split by the common shingles
-that connect them, put in order of size, and compared block by block, as
-products of incidence matrices.  Of a pair of blocks only a spanning forest of
-its links and each document's number of links come out.
+large groups of near copies, or of documents made of common passages only) meet
+nobody.  As a pair can share no more of them than the one that has fewer, so
+many matches less are asked of the others.  Where even a document's longest
+prefix has too many, it is a crowded one; crowded documents are split by the
+common shingles that connect them, and where they are many by bands of size, so
+that only neighbouring bands can be similar.  A band is dealt out to blocks of
+bounded size, and blocks are compared as products of incidence matrices.  Of a
+pair of blocks only a spanning forest of its links and each document's number of
+links come out.
 
 Equal sets are one class all along.  Links make components of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, held, in_arrow, partitions, small, stage
+from .common import added_up, documents, held, in_arrow, in_blocks, partitions, small, stage
 from .components import connected_components
 from .simhash import WordHashes, mixed
 
@@ -40,7 +47,9 @@ LONGER = 0.05
 #: Cost of verifying a shingle of a candidate, of meeting another document being 1.
 VERIFY = 0.1
 #: Crowded documents in a block, and the shingles in a block.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bits of a shingle's place in the table of counts.
+COUNTED = 20
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -67,19 +76,61 @@ def _longest(n: int) -> int:
     return 1 + -(-n * int(100 * LONGER) // 100)
 
 
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n, set, prefix``: size and hash of each document's set, and its longest prefix."""
+def _of_text(hashes: WordHashes, text: str | None, words: int) -> np.ndarray:
+    return shingles(hashes.of_bytes((text or "").encode().lower()), words)
+
+
+def _name(found: np.ndarray) -> int | None:
+    """The hash of a set; none of an empty one."""
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
+
+
+def with_set(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The documents with ``set``, the hash of their set of shingles; null without words."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("set", T.LongType())])
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = held("words", WordHashes)
+        for batch in batches:
+            found = [_name(_of_text(hashes, t.as_py(), words)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], schema.names)
+
+    return docs.transform(in_arrow, compute, schema)
+
+
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many documents have shingles of each place of a table of 2^``COUNTED`` places."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = held("words", WordHashes)
+        total = np.zeros(1 << COUNTED, np.int64)
+        for batch in batches:
+            found = [_places(_of_text(hashes, t.as_py(), words)) for t in batch.column("text")]
+            total += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=len(total))
+        yield in_blocks(total)
+
+    return added_up(docs.select("text").transform(in_arrow, count, "block int, values binary"), 1 << COUNTED)
+
+
+def _places(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTED)).astype(np.int64)
+
+
+def _sets(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
+    """``doc_id, n, set, prefix``: size and hash of each document's set, and its longest prefix, rare shingles first."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))  # 4 MB
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = held("words", WordHashes), sent.value
         for batch in batches:
             ns, keys, prefixes = [], [], []
             for text in batch.column("text"):
-                found = shingles(hashes.of_bytes((text.as_py() or "").encode().lower()), words)
+                found = _of_text(hashes, text.as_py(), words)
                 n = len(found)
                 ns.append(n)
-                keys.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if n else None)
-                prefixes.append(found[: _prefix(n, percent) + _longest(n) - 1].view(np.int64))
+                keys.append(_name(found))
+                order = np.argsort(counts[_places(found)], kind="stable")[: _prefix(n, percent) + _longest(n) - 1]
+                prefixes.append(found[order].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "set", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, compute, "doc_id long, n long, set long, prefix array<long>")
@@ -152,9 +203,9 @@ def _whole(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = held("words", WordHashes)
         for batch in batches:
-            found = [shingles(hashes.of_bytes((t.as_py() or "").encode().lower()), words).tobytes() for t in batch.column("text")]
-            own = pa.array([x.as_py() == xxhash.xxh3_64_intdigest(f) - (1 << 63) for x, f in zip(batch.column("wanted"), found)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column("wanted"), batch.column("copies"), batch.column("cluster"), pa.array(found, pa.binary())], ["set", "copies", "cluster", "hashes"])
+            found = [_of_text(hashes, t.as_py(), words) for t in batch.column("text")]
+            own = pa.array([x == _name(f) for x, f in zip(batch.column("wanted").to_pylist(), found)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column("wanted"), batch.column("copies"), batch.column("cluster"), pa.array([f.tobytes() for f in found], pa.binary())], ["set", "copies", "cluster", "hashes"])
             yield out.filter(own)
 
     return rows.transform(in_arrow, compute, "set long, copies long, cluster long, hashes binary").dropDuplicates(["set"])
@@ -223,19 +274,32 @@ def _crowded_links(whole: DataFrame, percent: int) -> DataFrame:
     """Links among crowded sets: rows ``u, v`` of a spanning forest, and rows ``u`` with its number ``links`` of linked documents (v null)."""
     spark = whole.sparkSession
     sizes = whole.select("set", "cluster", (F.length("hashes") / 8).cast("long").alias("n"))
-    #: places in order of size, from the number of sets of each size: no task puts a whole cluster in order
-    below = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    counts = sizes.groupBy("cluster", "n").agg(F.count("*").alias("sets"))
-    counts = counts.withColumn("before", F.sum("sets").over(below) - F.col("sets")).withColumn("shingles_before", F.sum(F.col("sets") * F.col("n")).over(below) - F.col("sets") * F.col("n"))
-    among = F.floor(F.pmod(F.xxhash64("set"), F.lit(1 << 20)) * F.col("sets") / F.lit(1 << 20))
-    sizes = sizes.join(counts, ["cluster", "n"]).withColumn("by_count", F.floor((F.col("before") + among) / BLOCK)).withColumn("by_size", F.floor((F.col("shingles_before") + among * F.col("n")) / BLOCK_SHINGLES))
-    sizes = stage(sizes.withColumn("block", F.xxhash64("cluster", "by_count", "by_size")).select("set", "cluster", "n", "block"), "jaccard-blocks", few=True)
-    blocks = stage(sizes.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "jaccard-spans", few=True)
-    a, b = (blocks.toDF("cluster", f"block_{s}", f"low_{s}", f"high_{s}") for s in "ab")
-    fits = (100 * F.col("high_a") >= percent * F.col("low_b")) & ((F.col("low_a") < F.col("low_b")) | ((F.col("low_a") == F.col("low_b")) & (F.col("block_a") <= F.col("block_b"))))
-    tasks = a.join(b, "cluster").where(fits).select("block_a", "block_b", F.xxhash64("block_a", "block_b").alias("task"))
-    sides = tasks.select("task", F.explode(F.when(F.col("block_a") == F.col("block_b"), F.array(F.struct(F.col("block_a").alias("block"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("block_a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(1).alias("side"))))).alias("s")).select("task", "s.*")
-    rows = whole.select("set", "copies", "hashes").join(sizes.select("set", "block"), "set").join(sides, "block").select("task", "side", "set", "copies", "hashes")
+    totals = [F.count("*").alias("sets"), F.sum("n").alias("total")]
+    few = stage(sizes.groupBy("cluster").agg(*totals).where((F.col("sets") <= BLOCK) & (F.col("total") <= BLOCK_SHINGLES)).select("cluster"), "jaccard-few", few=True)
+    #: similar sets are in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * 1.0001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    sizes = sizes.join(small(few).withColumn("one", F.lit(0)), "cluster", "left").withColumn("band", F.coalesce("one", band))
+    bands = sizes.groupBy("cluster", "band").agg(*totals).select("cluster", "band", F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    bands = stage(bands, "jaccard-bands", few=True)
+    near = lambda step, name: bands.select("cluster", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    spans = stage(bands.join(near(1, "above"), ["cluster", "band"], "left").join(near(-1, "below"), ["cluster", "band"], "left"), "jaccard-spans", few=True)
+    placed = sizes.select("set", "cluster", "band").join(small(spans), ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("set"), "blocks").cast("int"))
+
+    def tasks(count: Column, of: Callable[[Column], tuple[Column, Column, Column, Column]]) -> Column:
+        """Tasks of a set (a hash of cluster, lower band and both blocks) with ``count`` blocks, and its side there."""
+        def one(k: Column) -> Column:
+            low, first, second, side = of(k)
+            return F.struct(F.xxhash64("cluster", low, first, second).alias("task"), side.alias("side"))
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), one)).otherwise(F.array().cast("array<struct<task:long,side:int>>"))
+
+    own, block, lower = F.col("band"), F.col("block"), F.col("band") - 1
+    marked = lambda first, second: F.concat_ws(":", first, second)
+    same = tasks(F.col("blocks"), lambda k: (own, marked(F.least(k, block), F.greatest(k, block)), F.lit(0), F.when(k == block, 2).when(block < k, 0).otherwise(1)))
+    up = tasks(F.coalesce("above", F.lit(0)), lambda k: (own, marked(block, k), F.lit(1), F.lit(0)))
+    down = tasks(F.coalesce("below", F.lit(0)), lambda k: (lower, marked(k, block), F.lit(1), F.lit(1)))
+    sides = placed.select("set", F.explode(F.concat(same, up, down)).alias("s")).select("set", "s.*")
+    rows = whole.select("set", "copies", "hashes").join(sides, "set").select("task", "side", "set", "copies", "hashes")
 
     def compare(table: pa.Table) -> pa.Table:
         keys, copies = table.column("set").to_numpy(), table.column("copies").to_numpy()
@@ -262,7 +326,7 @@ def _crowded_links(whole: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, n_links, component_id`` of each document with an id.
+    """``doc_id, n_shingles, n_links, component_id, set`` of each document with an id.
 
     Two documents link if they share at least ``percent`` per cent of the
     distinct shingles of ``words`` words that either has.  Words are parted by
@@ -273,12 +337,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Texts without words, null ones too, have no shingles, no links, and are
     their own component.  Documents with null ids are left out, as no id could
     name them.  Repeated rows are documents with equal texts and link; rows of
-    one id with different texts are in the components of all their texts.  An
-    empty table gives an empty result.
+    one id with different texts are in the components of their own texts.  An
+    empty table gives an empty result.  ``set`` names a document's set of
+    shingles.
     """
-    spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
-    sets = stage(_sets(docs, words, percent), "jaccard-sets")
+    sets = stage(_sets(docs, words, percent, shingle_counts(docs, words)), "jaccard-sets")
     members = sets.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     members = stage(members, "jaccard-classes", few=True)
     distinct = stage(sets.where("n > 0").select("set", "n", "prefix").dropDuplicates(["set"]), "jaccard-prefixes")
@@ -312,9 +376,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = stage(classes.join(least, "component").select("set", "n_links", "component_id"), "jaccard-named", few=True)
     out = sets.select("doc_id", "n", "set").join(small(classes), "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"), "set")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, 85 per cent of the union shared; every document of the table."""
     linked = join(documents(spark, sf_dir).select("doc_id", "text"), words=4, percent=85)
     return linked.select("doc_id", "n_shingles", "component_id", "n_links")
