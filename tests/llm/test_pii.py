@@ -68,6 +68,40 @@ def test_known_values_are_found_elsewhere(spark):
     assert got[100] == ["user7(at)mail"] and got[101] == ["user7(at)mail"]
 
 
+def test_secrets_of_the_tables(spark):
+    """Keys in lower case are seeds; those in capitals are found by what stands before them, with quotes and marks around them or not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = pii.find(docs).join(docs, "doc_id").collect()
+    found = want = right = 0
+    for r in got:
+        text = r["text"] or ""
+        keys = {(m.start(1), m.end(1)) for m in re.finditer(r"(?i)token = \"?([0-9a-f]{40})", text)}
+        secrets = {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "secret"}
+        found, want, right = found + len(secrets), want + len(keys), right + len(keys & secrets)
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] == brute(text)
+    upper = [r for r in got if re.search(r"TOKEN = \"?[0-9A-F]{40}", r["text"] or "")]
+    assert upper and all(any(s["kind"] == "secret" for s in r["spans"]) for r in upper)
+    assert want > 100 and right == want and found == want
+
+
+def test_rounds_go_on_to_a_fixed_point(spark):
+    """What one round finds makes the next pattern trusted."""
+    values = [[f"{k:x}".rjust(39, "a") + "7" for k in range(600)], [f"Z1x{k}Q" for k in range(100)], [f"Z2x{k}Q" for k in range(16)], [f"Z3x{k}Q" for k in range(2)]]
+    texts = [f"here chain{link} {v} end{link} it" for link in range(3) for v in values[link] + values[link + 1]] + [f"other words {values[3][0]} stand", "other words Z4x4Q stand"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(table(spark, list(enumerate(texts)))).collect()}
+    assert all([s["kind"] for s in got[k]] == ["secret"] and not got[k][0]["base"] for k in range(len(texts) - 1))
+    assert got[len(texts) - 1] == []
+
+
+def test_groups_of_digits_and_spelt_signs(spark):
+    rows = [(k, f"please call desk +49 30 1234{k:04d} soon") for k in range(30)] + [(100, "please call desk (030) 123 4567 soon"), (101, "please call desk 0301/99 88 77, soon")]
+    rows += [(200 + k, f"mails to box user{k}@mail.example.org only") for k in range(30)] + [(300, "mails to box jane[at]mail only"), (301, "mails to box joe@mail only")]
+    texts = dict(rows)
+    got = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find(table(spark, rows)).collect()}
+    assert got[100] == [("phone", "(030) 123 4567")] and got[101] == [("phone", "0301/99 88 77")]
+    assert got[300] == [("email", "jane[at]mail")] and got[301] == [("email", "joe@mail")]
+
+
 def test_odd_tables(spark):
     rows = [*odd_rows(), (50, "mail a@b.co, 10.0.0.1"), (50, "mail a@b.co, 10.0.0.1")]
     docs = table(spark, rows).selectExpr("*", "1 as kind", "'x' as value", "2 as mentions", "3 as text_key")
