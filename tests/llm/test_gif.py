@@ -112,3 +112,4 @@ def test_odd_tables(spark):
     assert all(sum(f["colours"]) == 64 * 1024 for f in frames[:-1])
     assert gif.media_columns(gif.store_texts(docs.where("false"))).count() == 0
     assert gif.frames(stored.selectExpr("doc_id", "cast(null as binary) as media")).count() == 0
+    assert all(r["payload_bytes"] is None and r["feature"] is None for r in gif.media_columns(stored.selectExpr("doc_id", "cast(null as binary) as media")).collect())

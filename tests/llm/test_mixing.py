@@ -69,6 +69,19 @@ def test_one_large_source(spark):
     assert got == 750
 
 
+def test_small_buckets(spark, monkeypatch):
+    """Running sums over groups of buckets and slices take the same documents."""
+    import random
+
+    random.seed(8)
+    rows = [(k, " ".join(["w"] * random.randrange(0, 30)) + f" {k}", random.choice("aaab") if k % 50 else None) for k in range(700)]
+    docs = table(spark, rows)
+    taken = lambda: sorted((r["doc_id"], r["copies"], r["target"]) for r in mixing.mix(docs).collect())
+    whole = taken()
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.2)
+    assert taken() == whole
+
+
 def test_odd_tables(spark):
     docs = table(spark, odd_rows()).selectExpr("*", "1 as copies", "'x' as size", "2 as key", "3 as rank")
     got = mixing.mix(docs).collect()

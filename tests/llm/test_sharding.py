@@ -1,8 +1,12 @@
+import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tables import odd_rows, table
 
 from vecspark.llm import sharding
@@ -36,6 +40,34 @@ def test_few_documents_move(spark):
     assert one[0]["law"] is None
 
 
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_against_a_ring_key_by_key(spark, slack):
+    """Documents one by one: to the next virtual node clockwise, and on while a shard is full."""
+    docs = table(spark, [(k, f"text {k % 300}") for k in range(500)])
+    spot = F.expr(f"shiftrightunsigned(xxhash64(cast(text as binary)), 1) & {((1 << 63) - 1) ^ 0xFFFFFF}L | xxhash64(cast(doc_id as string)) & {0xFFFFFF}L")
+    spots = {r["doc_id"]: r["spot"] for r in docs.select("doc_id", spot.alias("spot")).collect()}
+    for shards in (24, 25):
+        nodes = sorted((int(hashlib.md5(f"{s}:{r}".encode()).hexdigest()[:16], 16) >> 1, s) for s in range(shards) for r in range(64))
+        owner = lambda at: nodes[at % len(nodes)][1]
+        arc = {i: next((k for k, (p, _) in enumerate(nodes) if p >= x), 0) for i, x in spots.items()}
+        ring = sorted(spots, key=lambda i: (spots[i] <= nodes[-1][0], spots[i], i))
+        most = [math.ceil(1.25 * 500 / shards)] * shards if slack else [500 // shards + (s < 500 % shards) for s in range(shards)]
+        full, numbers = Counter(), Counter()
+        for step in range(len(nodes)):  # all on their first node, then those left over on the next one
+            for a in sorted({arc[i] for i in ring}):
+                shard = owner(a + step)
+                fit = min(sum(arc[i] == a for i in ring) - numbers[a], most[shard] - full[shard])
+                full[shard] += fit
+                numbers[a] += fit
+                if fit:
+                    numbers[a, shard] += fit
+        got = placed(docs, shards, slack=slack)
+        for a in {arc[i] for i in ring}:
+            assert Counter(got[i]["shard"] for i in ring if arc[i] == a) == {k[1]: n for k, n in numbers.items() if isinstance(k, tuple) and k[0] == a}
+        for s in range(shards):
+            assert sorted(r["slot"] for r in got.values() if r["shard"] == s) == list(range(full[s]))
+
+
 def test_dealing_out():
     owners = np.array([0, 1, 2, 0, 1, 2])
     dealt = sharding.deal(np.array([10, 0, 0, 0, 2, 0]), owners, np.array([4, 4, 4]))

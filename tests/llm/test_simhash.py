@@ -95,6 +95,21 @@ def test_near_copies_are_within_the_registered_radius(spark, tmp_path):
     assert sum(d <= simhash.NEAR for d in apart.values()) > 15
 
 
+def test_one_id_for_a_third_of_all_rows(spark):
+    """Its texts are cut into several buckets; neighbours stay right, in order of the texts' hashes."""
+    rows = [(k, f"text {k} of some words") for k in range(0, 300)] + [(150, f"more {k} and so on") for k in range(200)]
+    docs = table(spark, rows)
+    keys = {(r["doc_id"], r["text"]): r["k"] for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as k").collect()}
+    order = sorted(rows, key=lambda r: (r[0], keys[r]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, cut = order[(k + 1) % len(order)][1], len(t) // 4
+        want.append((i, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    dealt = simhash._neighbours(docs)
+    assert dealt.where("at = 150 and peek = 0").select("to").distinct().count() > 2
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in simhash.edited_fingerprints(docs).collect()) == sorted(want)
+
+
 def test_odd_tables(spark):
     docs = table(spark, odd_rows()).selectExpr("*", "1 as bucket", "'x' as fingerprint", "2 as at")
     got = simhash.edited_fingerprints(docs).collect()

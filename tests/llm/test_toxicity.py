@@ -36,6 +36,39 @@ def test_held_out_accuracy(spark):
     assert np.mean([s for s, t in held if not t]) < 0.2
 
 
+def test_risk_and_steps_against_plain_python():
+    """The risk by its definition; training lowers it, and undoes steps that make the risk on clean texts negative."""
+    import math
+
+    chance = np.random.default_rng(0)
+    zt, zu, prior = chance.normal(1, 2, 30), chance.normal(-1, 2, 50), 0.2
+    loss = lambda z, y: math.log(1 + math.exp(-z * y))
+    on_toxic = prior * sum(loss(z, 1) for z in zt) / 30
+    on_clean = sum(loss(z, -1) for z in zu) / 50 - prior * sum(loss(z, -1) for z in zt) / 30
+    assert np.allclose(toxicity.risk(zt, zu, prior), (on_toxic, on_clean))
+    rows, labels = corpus(600, 4)
+    found = [toxicity.features(t) for _, t in rows]
+    toxic = [f for f, (_, t) in zip(found, labels) if t]
+    start = math.log(0.15 / 0.85)
+    first = toxicity.risk(np.full(len(toxic), start), np.full(len(found), start), 0.15)
+    model = toxicity.train(toxic, found, 0.15, models=1)
+    logit = lambda rows: np.array([model.weights[f, 0].sum(dtype=float) for f in rows]) + model.bias[0]
+    last = toxicity.risk(logit(toxic), logit(found), 0.15)
+    assert last[1] > -0.05 and last[0] + max(last[1], 0) < 0.5 * (first[0] + first[1])
+
+
+def test_prior_needs_no_negatives(spark):
+    rows, labels = corpus(3000, 5)
+    found = [toxicity.features(t) for _, t in rows]
+    toxic = [f for f, (_, t) in zip(found, labels) if t]
+    share = len(toxic) / len(found)
+    assert 0.8 * share < toxicity.estimated_prior(toxic[:200], found) < 1.4 * share
+    assert toxicity.estimated_prior([], found) == 0
+    docs = table(spark, [*rows[:300], *[(rows[0][0], f"more {k} text") for k in range(300)]])
+    marks = spark.createDataFrame(labels[:300], "doc_id long, toxic int")
+    assert toxicity.fit(docs, marks).weights.any()
+
+
 def test_unlabelled_rows_need_no_labels():
     """Marks of the unlabelled sample are never looked at: the classifier sees them as one lot."""
     rows, labels = corpus(800, 2)

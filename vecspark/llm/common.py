@@ -52,12 +52,31 @@ def stage(df: DataFrame, name: str = "stage", few: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     if few:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions(spark) // 4))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that this driver has staged and not removed.
+_staged: list[str] = []
+
+
+def staged() -> list[str]:
+    """The folders staged so far."""
+    return list(_staged)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged folders that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        _staged.remove(name)
+
+
 def staged_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a staged table, from one listing of each folder."""
     jvm = df.sparkSession.sparkContext._jvm

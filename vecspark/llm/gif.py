@@ -305,7 +305,8 @@ def media_columns(media: DataFrame) -> DataFrame:
     """Digests of the GIFs in ``media`` and of the samples read back from them.
 
     ``feature`` has the number of frames, the milliseconds they are shown and
-    the pixels by grey level (64 levels wide), summed over the frames.
+    the pixels by grey level (64 levels wide), summed over the frames.  Where
+    ``media`` is null, all new columns are.
     """
     new = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
     new += [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
@@ -317,6 +318,9 @@ def media_columns(media: DataFrame) -> DataFrame:
             rows = []
             for value in batch.column("media"):
                 data = value.as_py()
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 shown = read_gif(data)[2]
                 payload = b"".join(x.samples.tobytes() for x in shown)
                 grey = np.sum([np.bincount(x.seen[: x.samples.shape[0], :, 0].ravel() >> 6, minlength=4) for x in shown], 0)

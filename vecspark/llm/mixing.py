@@ -9,10 +9,14 @@ one order by finish time and cut where the total budget is spent.
 What is taken of a source is a prefix of its queue, so the mix is described by
 one key per source and copy.  These few keys, not the texts, meet the documents.
 
-Running sums never stand in one task: the shuffled key is cut into buckets by
-its leading hex digits, the buckets' sums are added up first, and each bucket
-then counts from its own start.  A source with a third of all rows is spread
-over all of its buckets.
+Running sums over rows never stand in one task: the shuffled key is cut into
+buckets by its leading hex digits, the buckets' sums are added up first, and
+each bucket then counts from its own start.  A source with a third of all rows
+is spread over all of its buckets.  The buckets' own running sums go the same
+way, over groups of buckets first, and so does the search for the place where
+the budget is spent; the longest run that one task adds up grows with the third
+root of the rows.  Only the sources themselves, few by nature, are put in order
+in one task.
 """
 
 from __future__ import annotations
@@ -62,6 +66,43 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     )
 
 
+def _starts(sums: DataFrame, by: str, key: str, size: str, levels: list[int]) -> DataFrame:
+    """``sums`` with ``start``, what lies before each row within ``by`` in order of the string ``key``.
+
+    ``levels`` are lengths of prefixes of the key, short ones first; running
+    sums stay within one prefix.
+    """
+    total = None
+    for short, long in zip([0, *levels], [*levels, None]):
+        name = F.col(key) if long is None else F.substring(key, 1, long)
+        rows = sums.groupBy(by, name.alias("_at")).agg(F.sum(size).alias("_size"))
+        run = Window.partitionBy(by, "_in").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_in", F.substring("_at", 1, short)).withColumn("_start", F.sum("_size").over(run) - F.col("_size"))
+        if total is not None:
+            above = total.withColumnsRenamed({by: "_by", "_at": "_above", "_start": "_more"})
+            rows = rows.join(above, rows[by].eqNullSafe(F.col("_by")) & (F.col("_in") == F.col("_above"))).withColumn("_start", F.col("_start") + F.col("_more"))
+        total = rows.select(by, "_at", "_start")
+    return total.withColumnsRenamed({"_at": key, "_start": "start"})
+
+
+def _spent(places: DataFrame, fan: int, budget: float) -> tuple[int, int] | None:
+    """The slice in which the budget is spent, and the words before it; none if it lasts.
+
+    Groups of ``fan`` times ``fan`` slices are searched first, then groups of
+    ``fan``, then slices, each time within the one where the sum goes over.
+    """
+    sums, before, at = stage(places.groupBy("slice").agg(F.sum("size").alias("words")), "mix-slices", few=True), 0, None
+    for step in (fan * fan, fan, 1):
+        rows = sums if at is None else sums.where((F.col("slice") >= at) & (F.col("slice") < at + step * fan))
+        rows = rows.groupBy((F.floor(F.col("slice") / step) * step).alias("slice")).agg(F.sum("words").alias("words"))
+        run = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # one group: about the third root of all slices
+        over = rows.withColumn("spent", F.sum("words").over(run) + F.lit(before)).where(F.col("spent") > F.lit(budget)).orderBy("slice").select("slice", F.col("spent") - F.col("words")).first()
+        if over is None:
+            return None
+        at, before = over[0], over[1]
+    return at, before
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
     """The documents with ``size``, ``source_size``, ``target`` and ``copies``.
 
@@ -83,8 +124,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     summed = queued.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     sources = summed.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     goal = stage(targets(sources, weights, share, repeats), "mix-targets", few=True)
-    starts = summed.withColumn("start", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bucket_size"))
-    starts = starts.join(small(goal).withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source", "bucket_size")
+    levels = sorted({k for k in (digits // 3, 2 * digits // 3) if 0 < k < digits})
+    starts = _starts(summed, "source", "bucket", "bucket_size", levels)
+    starts = starts.join(small(goal).withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     starts = stage(starts, "mix-starts", few=True).withColumnsRenamed({"source": "start_source", "bucket": "start_bucket"})
 
     #: one row for each place of a queue, with its running sum
@@ -100,10 +142,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     n_slices = max(16, math.ceil(rows * repeats / BUCKET_ROWS))
     slice_of = F.least(F.floor(F.col("at.finish") * n_slices), F.lit(2 * n_slices)).cast("long")
     places = places.withColumn("slice", slice_of)
-    by_slice = places.groupBy("slice").agg(F.sum("size").alias("words"))
-    spent = by_slice.withColumn("spent", F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)))
     budget = goal.agg(F.sum("source_size") * F.lit(float(share))).first()[0] or 0.0
-    first = spent.where(F.col("spent") > F.lit(budget)).orderBy("slice").select("slice", F.col("spent") - F.col("words")).first()
+    first = _spent(places, math.ceil((2 * n_slices + 1) ** (1 / 3)) + 1, budget)
     if first:
         within = places.where(F.col("slice") == first[0]).withColumn("spent", F.sum("size").over(Window.partitionBy("slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(first[1]))
         last = within.where(F.col("spent") <= F.lit(budget)).agg(F.max("at")).first()[0]

@@ -128,5 +128,6 @@ def assign(docs: DataFrame, shards: int = 24, replicas: int = 64, slack: float =
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards under the law ``rows``."""
     placed = assign(documents(spark, sf_dir).select("doc_id", "text"))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -175,32 +175,43 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = NEAR) -> DataFra
 def _neighbours(docs: DataFrame) -> DataFrame:
     """Documents in order of id within buckets of ids, each bucket with the first document behind it.
 
-    Ids are cut into buckets at their quantiles.  Whatever bucket ends, its last
-    document needs the first one of the next bucket, which is sent to both; the
-    very first one is sent to the last bucket too.
+    Ids are cut into buckets at their quantiles; an id that holds several
+    quantiles is cut further, into even ranges of the texts' hashes.  Whatever
+    bucket ends, its last document needs the first one of the next bucket, which
+    is sent to both; the very first one is sent to the last bucket too.  Cuts and
+    first documents are four for each shuffle partition, sent as arrays.
     """
     spark = docs.sparkSession
     n = 4 * partitions(spark)
     at = docs.select(F.coalesce(docs["doc_id"], F.lit(-(1 << 63))).alias("at"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"), "text")
-    cuts = at.agg(F.percentile_approx("at", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    found = at.agg(F.percentile_approx("at", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+    cuts, often = np.unique(np.array(found, np.int64), return_counts=True)
+    #: bucket at which each cut begins, and the cuts within the ids that come up more than once
+    begins = np.concatenate([[0], np.cumsum(np.where(often > 1, often, 1))])
+    within = {int(cuts[k]): (int(begins[k]) + 1, np.array([-(1 << 63) + (j << 64) // int(often[k]) for j in range(1, often[k])], np.int64)) for k in np.flatnonzero(often > 1)}
+
+    def bucketed(rows: DataFrame, heads: dict[int, tuple[int, int, int]]) -> DataFrame:
+        """``rows`` with ``bucket`` and, for those equal to the first document of a bucket, the bucket before it."""
+        schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("before", T.IntegerType())])
+        sent = spark.sparkContext.broadcast((cuts, begins, within, heads))
 
-    def bucketed(rows: DataFrame) -> DataFrame:
         def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts, begins, within, heads = sent.value
             for batch in batches:
-                found = np.searchsorted(cuts, batch.column("at").to_numpy(), "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "bucket"])
-
-        return rows.transform(in_arrow, compute, T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())]))
-
-    heads = sorted((r["bucket"], r["head"]) for r in bucketed(at.select("at", "text_key")).groupBy("bucket").agg(F.min(F.struct("at", "text_key")).alias("head")).collect())
-    sent = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("peek")))
-    if heads:
-        before = F.create_map(*[F.lit(x) for k, (b, _) in enumerate(heads) for x in (b, heads[k - 1][0])])
-        first = F.create_map(*[x for b, h in heads for x in (F.lit(b), F.struct(F.lit(h["at"]).alias("at"), F.lit(h["text_key"]).alias("text_key")))])
-        is_head = first[F.col("bucket")] == F.struct("at", "text_key")
-        sent = F.when(is_head, F.array_append(sent, F.struct(before[F.col("bucket")].alias("to"), F.lit(1).alias("peek")))).otherwise(sent)
-    dealt = bucketed(at).select("at", "text_key", "text", F.explode(sent).alias("s")).select("s.to", "s.peek", "at", "text_key", "text")
+                ids, keys = batch.column("at").to_numpy(), batch.column("text_key").to_numpy()
+                bucket = begins[np.searchsorted(cuts, ids, "right")]
+                for hot, (first, inner) in within.items():
+                    own = ids == hot
+                    bucket[own] = first + np.searchsorted(inner, keys[own], "right")
+                before = [heads[b][2] if b in heads and heads[b][:2] == (i, k) else None for b, i, k in zip(bucket.tolist(), ids.tolist(), keys.tolist())] if heads else [None] * len(ids)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket.astype(np.int32)), pa.array(before, pa.int32())], schema.names)
+
+        return rows.transform(in_arrow, compute, schema)
+
+    first = sorted((r["bucket"], r["head"]["at"], r["head"]["text_key"]) for r in bucketed(at.select("at", "text_key"), {}).groupBy("bucket").agg(F.min(F.struct("at", "text_key")).alias("head")).collect())
+    heads = {b: (i, k, first[place - 1][0]) for place, (b, i, k) in enumerate(first)}
+    to = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("peek")), F.struct(F.col("before").alias("to"), F.lit(1).alias("peek")))
+    dealt = bucketed(at, heads).select("at", "text_key", "text", F.explode(to).alias("s")).select("s.to", "s.peek", "at", "text_key", "text").where("to is not null")
     return dealt.repartition(partitions(spark), "to").sortWithinPartitions("to", "peek", "at", "text_key")
 
 
@@ -244,8 +255,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents; for those whose id is divisible by 100, also how many documents are within 20 bits."""
+    """Fingerprints of all documents.
+
+    For those whose id is divisible by 100 also how many documents are within 6
+    bits, by block tables (``n_close``), and within 20, by comparing them with
+    all (``n_within``).
+    """
     prints = stage(edited_fingerprints(documents(spark, sf_dir).select("doc_id", "text")), "simhash")
-    found = stage(within(prints.where("doc_id % 100 = 0"), prints), "simhash-found", few=True)
+    asked = prints.where("doc_id % 100 = 0")
+    close = search(asked, prints).groupBy("query_print").agg(F.sum("found_n").alias("n_close"))
+    found = stage(within(asked, prints).join(close, "query_print", "left"), "simhash-found", few=True)
     counted = prints.join(small(found), (F.col("doc_id") % 100 == 0) & (F.col("fingerprint") == F.col("query_print")), "left")
-    return counted.select(*prints.columns, "n_within")
+    return counted.select(*prints.columns, "n_close", "n_within")

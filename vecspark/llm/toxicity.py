@@ -1,10 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Only confirmed toxic documents are labels; all others are unlabelled, toxic ones
-among them.  With the share of toxic documents (the class prior) known, the risk
-of a classifier on clean documents follows from its risks on unlabelled and on
-toxic ones.  That difference cannot be negative in truth, so whenever a step
-makes it negative by overfitting, the next step goes the other way.
+among them.  With the share of toxic documents (the class prior), the risk of a
+classifier on clean documents follows from its risks on unlabelled and on toxic
+ones.  That difference cannot be negative in truth, so whenever a step makes it
+negative by overfitting, the next step goes the other way.
+
+The prior itself is estimated without negatives: above any threshold lie at
+least as many of the unlabelled as the prior times the share of the toxic ones
+there, so the least ratio of the two bounds it from above.
 
 Features of a text are its distinct words and their first letters, hashed.
 Linear classifiers are trained in numpy on the driver from a bounded sample;
@@ -118,23 +122,44 @@ def train(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, k
     return Model(weights, bias)
 
 
+def risk(zt: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Risk on toxic texts, and that on clean ones, from logits of toxic and unlabelled texts (logistic loss)."""
+    return prior * np.logaddexp(0, -zt).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zt).mean()
+
+
+def estimated_prior(toxic: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.3, nominal: float = 0.1) -> float:
+    """Share of toxic texts among the unlabelled ones.
+
+    Every second text of both samples trains a classifier for a nominal prior;
+    the others are scored.  Thresholds are those above which ``least`` or more
+    of the toxic ones lie.  Without toxic texts it is 0.
+    """
+    if len(toxic) < 2 or len(unlabelled) < 2:
+        return 0.0
+    model = train(toxic[::2], unlabelled[::2], nominal, models=1, steps=200)
+    p, u = (model.scores(np.array([model.weights[f].sum(0, dtype=np.float64) for f in rows[1::2]])) for rows in (toxic, unlabelled))
+    cuts = np.quantile(p, np.linspace(0, 1 - least, 20))
+    return float(min((u >= c).mean() / (p >= c).mean() for c in cuts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabelled: int = 16000, prior: float | None = None) -> Model:
     """Train on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``most_toxic`` confirmed toxic and ``most_unlabelled`` other rows of
     ``labels`` are used, the first by a hash of their ids; only their hashed
     features reach the driver.  What the label of the unlabelled sample says is
-    not looked at.  The prior, if not given, is the share of toxic ones among
-    all rows of ``labels``.  Rows with null ids or texts teach nothing.
+    not looked at.  The prior, if not given, is estimated from the two samples.
+    Rows with null ids or texts teach nothing; of an id's texts, the one of the
+    least hash counts.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null")
-    if prior is None:
-        prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     toxic = known.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(most_toxic)
     unlabelled = known.select("doc_id").distinct().orderBy(*order).limit(most_unlabelled)
     sample = unlabelled.withColumn("part", F.lit("u")).union(toxic.withColumn("part", F.lit("t")))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("part", "text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    #: one text of an id: tasks take theirs before the shuffle, so a repeated id neither stands in one task nor reaches the driver
+    rows = rows.groupBy("part", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("x")).select("part", "x.text")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabel
     sides: dict[str, list[np.ndarray]] = {"t": [], "u": []}
     for part, found in sorted(zip(got.column("part").to_pylist(), got.column("features").to_pylist())):
         sides[part].append(np.frombuffer(found, np.int32))
-    return train(sides["t"], sides["u"], prior)
+    return train(sides["t"], sides["u"], estimated_prior(sides["t"], sides["u"]) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
