@@ -64,6 +64,7 @@ def test_prior_needs_no_negatives(spark):
     share = len(toxic) / len(found)
     assert 0.8 * share < toxicity.estimated_prior(toxic[:200], found) < 1.4 * share
     assert toxicity.estimated_prior([], found) == 0
+    assert toxicity.estimated_prior(toxic[:3], found[:40]) == 0.1  # too few for any feature to count
     docs = table(spark, [*rows[:300], *[(rows[0][0], f"more {k} text") for k in range(300)]])
     marks = spark.createDataFrame(labels[:300], "doc_id long, toxic int")
     assert toxicity.fit(docs, marks).weights.any()

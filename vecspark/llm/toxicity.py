@@ -127,19 +127,24 @@ def risk(zt: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
     return prior * np.logaddexp(0, -zt).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zt).mean()
 
 
-def estimated_prior(toxic: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.3, nominal: float = 0.1) -> float:
+def estimated_prior(toxic: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.3, nominal: float = 0.1, fewest: int = 60) -> float:
     """Share of toxic texts among the unlabelled ones.
 
     Every second text of both samples trains a classifier for a nominal prior;
     the others are scored.  Thresholds are those above which ``least`` or more
-    of the toxic ones lie.  Without toxic texts it is 0.
+    of the toxic ones lie.  Without toxic texts it is 0; with fewer than
+    ``fewest`` of them, or where the classifier tells nothing apart, the nominal
+    prior stays.  It is below half: a larger one has to be given.
     """
-    if len(toxic) < 2 or len(unlabelled) < 2:
+    if not toxic or not unlabelled:
         return 0.0
+    if len(toxic) < fewest:
+        return nominal
     model = train(toxic[::2], unlabelled[::2], nominal, models=1, steps=200)
     p, u = (model.scores(np.array([model.weights[f].sum(0, dtype=np.float64) for f in rows[1::2]])) for rows in (toxic, unlabelled))
     cuts = np.quantile(p, np.linspace(0, 1 - least, 20))
-    return float(min((u >= c).mean() / (p >= c).mean() for c in cuts))
+    found = float(min((u >= c).mean() / (p >= c).mean() for c in cuts))
+    return found if found < 0.5 else nominal
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabelled: int = 16000, prior: float | None = None) -> Model:
