@@ -6,8 +6,8 @@ classifier on clean documents follows from its risks on unlabelled and on toxic
 ones.  That difference cannot be negative in truth, so whenever a step makes it
 negative by overfitting, the next step goes the other way.
 
-The prior itself is estimated without negatives: above any threshold lie at
-least as many of the unlabelled as the prior times the share of the toxic ones
+The prior is a parameter, or estimated without negatives: above any threshold lie
+at least as many of the unlabelled as the prior times the share of the toxic ones
 there, so the least ratio of the two bounds it from above.
 
 Features of a text are its distinct words and their first letters, hashed.
@@ -38,6 +38,8 @@ STEM = 5
 #: ASCII characters that part words, besides white space.
 PARTING = bytes(32 if chr(k) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789" else k for k in range(256))
 WORDS_KEPT = 200_000
+#: Share of toxic texts that is assumed if none is given.
+PRIOR = 0.1
 
 
 def words(text: str) -> set[bytes]:
@@ -147,13 +149,14 @@ def estimated_prior(toxic: list[np.ndarray], unlabelled: list[np.ndarray], least
     return found if found < 0.5 else nominal
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabelled: int = 16000, prior: float | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabelled: int = 16000, prior: float | None = PRIOR) -> Model:
     """Train on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``most_toxic`` confirmed toxic and ``most_unlabelled`` other rows of
     ``labels`` are used, the first by a hash of their ids; only their hashed
     features reach the driver.  What the label of the unlabelled sample says is
-    not looked at.  The prior, if not given, is estimated from the two samples.
+    not looked at.  ``prior`` is an assumption, the same for every table; with
+    None it is estimated from the two samples, which errs upwards.
     Rows with null ids or texts teach nothing; of an id's texts, the one of the
     least hash counts.
     """
