@@ -38,7 +38,7 @@ STEM = 5
 #: ASCII characters that part words, besides white space.
 PARTING = bytes(32 if chr(k) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789" else k for k in range(256))
 WORDS_KEPT = 200_000
-#: Share of toxic texts that is assumed if none is given.
+#: Share of toxic texts that the query and the pipeline assume for any table.
 PRIOR = 0.1
 
 
@@ -149,14 +149,14 @@ def estimated_prior(toxic: list[np.ndarray], unlabelled: list[np.ndarray], least
     return found if found < 0.5 else nominal
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabelled: int = 16000, prior: float | None = PRIOR) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_unlabelled: int = 16000, prior: float | None = None) -> Model:
     """Train on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``most_toxic`` confirmed toxic and ``most_unlabelled`` other rows of
     ``labels`` are used, the first by a hash of their ids; only their hashed
     features reach the driver.  What the label of the unlabelled sample says is
-    not looked at.  ``prior`` is an assumption, the same for every table; with
-    None it is estimated from the two samples, which errs upwards.
+    not looked at.  ``prior``, if not given, is estimated from the two samples,
+    which errs upwards.
     Rows with null ids or texts teach nothing; of an id's texts, the one of the
     least hash counts.
     """
@@ -226,7 +226,7 @@ def held_out(doc_id) -> F.Column:
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    return fit(docs, labels.where(~held_out(F.col("doc_id"))), prior=PRIOR)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
