@@ -95,6 +95,12 @@ def test_merge_and_recall(spark):
     assert lists(merged(parts, 6)) == lists(whole)
     assert evaluate.mean_recall(parts[0], whole, 6) < 1 == evaluate.mean_recall(whole, whole, 6)
     assert set(evaluate.timed(lambda: whole, 50)) == {"latency_us", "qps"}
+    times = evaluate.measured({"whole": lambda: whole, "part": lambda: parts[0]}, 50, runs=1)
+    assert list(times) == ["whole", "part"] and times["whole"]["speed_up"] == 1
+    assert times["part"]["speed_up"] == times["whole"]["latency_us"] / times["part"]["latency_us"]
+    assert evaluate.measured({}, 50) == {}
+    held = evaluate.memory(spark)
+    assert all(0 < held[f"{name}_now"] <= held[f"{name}_peak"] for name in ("python", "jvm") if f"{name}_now" in held)
     worst = evaluate.compared(whole, parts[0]).agg(F.sum("other_ids")).first()[0]
     assert worst > 0 and evaluate.compared(whole, whole).agg(F.max("max_diff")).first()[0] == 0
 

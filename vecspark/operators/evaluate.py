@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +39,33 @@ def sweep(configurations: dict[str, Callable[[], DataFrame]], truth: DataFrame,
     return out
 
 
+def measured(configurations: dict[str, Callable[[], DataFrame]], queries: int, runs: int = 2) -> dict[str, dict[str, float]]:
+    """Latency, queries a second and speed-up over the first configuration, by name; of several runs after one to warm up, the fastest counts."""
+    out: dict[str, dict[str, float]] = {}
+    for name, search in configurations.items():
+        timed(search, queries)
+        out[name] = min((timed(search, queries) for _ in range(runs)), key=lambda x: x["latency_us"])
+    first = next(iter(out.values()))["latency_us"] if out else 0.0
+    for found in out.values():
+        found["speed_up"] = first / found["latency_us"]
+    return out
+
+
+def memory(spark: SparkSession) -> dict[str, float]:
+    """Resident megabytes of the driver's Python and its JVM, ``now`` and at their ``peak``; empty where the system has no ``/proc``.
+
+    In local mode the JVM is also the executor; Python workers are not in it.
+    """
+    pids = {"python": os.getpid(), "jvm": spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()}
+    out: dict[str, float] = {}
+    for name, pid in pids.items():
+        status = Path(f"/proc/{pid}/status")
+        if status.exists():
+            fields = dict(line.split(":", 1) for line in status.read_text().splitlines() if ":" in line)
+            out |= {f"{name}_{label}": int(fields[field].split()[0]) / 1024 for label, field in (("now", "VmRSS"), ("peak", "VmHWM"))}
+    return out
+
+
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each query: the largest difference of distances at equal rank, and the ranks with other ids."""
     both = a.select("query_id", "rank", F.col("vec_id").alias("vec_a"), F.col("dist").alias("dist_a")).join(b.select("query_id", "rank", F.col("vec_id").alias("vec_b"), F.col("dist").alias("dist_b")), ["query_id", "rank"], "full_outer")
