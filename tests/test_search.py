@@ -337,3 +337,26 @@ def test_walks_with_own_ends():
     assert len(odd) == 450 and all(label % 2 for _, label in odd)
     assert [i for _, i in graph.within(q[0], 1e9, 0, 7)] == np.argsort(far[0], kind="stable")[:7].tolist()
     assert sorted(i for _, i in graph.walk(q[0])) == list(range(900))
+
+
+def test_exhaustive_searches_find_what_no_link_leads_to():
+    """Pruning may leave nodes without links to them; here some are cut off, one alone and a group."""
+    x, q = blobs(400, 8, queries=5)
+    graph = hnsw.Graph(8, m=4, ef_build=20)
+    for k, v in enumerate(x):
+        graph.add(k, v)
+    off, group = 17, set(range(100, 130))
+    for node, by_level in enumerate(graph.links):
+        by_level[0] = [y for y in by_level[0] if y != off and (y in group) == (node in group)]
+    far = ((q[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    doc_of = {k: k % 7 for k in range(400)}
+    for asked_for, d in zip(q, far):
+        want = np.argsort(d, kind="stable").tolist()
+        assert [k for _, k in graph.search(asked_for, 400, 400)] == want
+        assert [k for _, k in graph.search(asked_for, 10, 400)] == want[:10]
+        assert [k for _, k in graph.search(asked_for, 10, 400, lambda k: k % 3 == 0)] == [k for k in want if k % 3 == 0][:10]
+        assert sorted(k for _, k in graph.walk(asked_for)) == list(range(400))
+        radius = float(np.sort(d)[150])
+        assert [k for _, k in graph.within(asked_for, radius, 400)] == want[:151]
+        run = [k for k in range(400) if len({doc_of[y] for y in want[: k + 1]}) <= 3]
+        assert [k for _, k in graph.documents(asked_for, doc_of, 3, 7)] == want[: len(run)]

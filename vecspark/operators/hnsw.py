@@ -79,20 +79,27 @@ class Graph:
                     at, best = self.links[at][upper][k], near[k]
         return at
 
-    def _beam(self, q: np.ndarray, starts: list[int], level: int, ef: int, allowed: Callable[[int], bool] | None = None) -> list[tuple[float, int]]:
-        """The ``ef`` closest nodes that a best-first walk meets, closest first; all nodes are walked, allowed ones are kept."""
+    def _beam(self, q: np.ndarray, starts: list[int], level: int, ef: int, allowed: Callable[[int], bool] | None = None, whole: bool = False) -> list[tuple[float, int]]:
+        """The ``ef`` closest nodes that a best-first walk meets, closest first; all nodes are walked, allowed ones are kept.
+
+        With ``whole`` (on level 0), where links lead to fewer than ``ef``, the
+        walk goes on from the nodes that they don't lead to.
+        """
         seen = set(starts)
         first = [(float(d), s) for d, s in zip(self.far(q, starts), starts)]
         waiting = list(first)
         heapq.heapify(waiting)
         kept = [(-d, s) for d, s in first if allowed is None or allowed(s)]
         heapq.heapify(kept)
-        while waiting:
-            d, node = heapq.heappop(waiting)
-            if len(kept) >= ef and d > -kept[0][0]:
-                break
-            self.hops += 1
-            new = [x for x in self.links[node][level] if x not in seen]
+        while waiting or (whole and len(kept) < ef and len(seen) < len(self)):
+            if waiting:
+                d, node = heapq.heappop(waiting)
+                if len(kept) >= ef and d > -kept[0][0]:
+                    break
+                self.hops += 1
+                new = [x for x in self.links[node][level] if x not in seen]
+            else:
+                new = self._unmet(seen)
             if not new:
                 continue
             seen.update(new)
@@ -105,6 +112,10 @@ class Graph:
                             heapq.heappop(kept)
         return sorted((-d, x) for d, x in kept)
 
+    def _unmet(self, met: set[int]) -> list[int]:
+        """The nodes that a walk has not met: pruning may leave a node that no other one links to."""
+        return [x for x in range(len(self)) if x not in met]
+
     def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Of nodes, closest first, those that are closer to the middle than to any one taken before."""
         if len(found) <= most:
@@ -169,14 +180,17 @@ class Graph:
         self.deleted.discard(node)
 
     def search(self, q: Iterable[float], k: int, ef: int = 10, allowed: Callable[[int], bool] | None = None) -> list[tuple[float, int]]:
-        """``(distance, label)`` of k close vectors, closest first; ``allowed`` looks at labels."""
+        """``(distance, label)`` of k close vectors, closest first; ``allowed`` looks at labels.
+
+        With ``ef`` as large as the graph they are the k closest ones.
+        """
         if self.entry < 0:
             return []
         q = self._prepared(q)
         keep = None
         if self.deleted or allowed:
             keep = lambda x: x not in self.deleted and (allowed is None or allowed(self.labels[x]))
-        found = self._beam(q, [self._descend(q, 0)], 0, max(ef, k), keep)
+        found = self._beam(q, [self._descend(q, 0)], 0, max(ef, k), keep, whole=True)
         return sorted((d, self.labels[x]) for d, x in found)[:k]
 
     def walk(self, q: Iterable[float], allowed: Callable[[int], bool] | None = None) -> Iterator[tuple[float, int]]:
@@ -184,15 +198,19 @@ class Graph:
 
         The walk goes on from what it gives out, so distances rise but for
         shortcuts found late, and a caller ends it when it has seen enough.  Left
-        alone it gives out all vectors that links lead to.  Deleted ones and
-        those not ``allowed`` are walked through only.
+        alone it gives out all vectors, at the end those that links don't lead
+        to.  Deleted ones and those not ``allowed`` are walked through only.
         """
         if self.entry < 0:
             return
         q = self._prepared(q)
         start = self._descend(q, 0)
         front, met = [(float(self.far(q, [start])[0]), start)], {start}
-        while front:
+        while front or len(met) < len(self):
+            if not front:
+                new = self._unmet(met)
+                met.update(new)
+                front = sorted(zip(self.far(q, new).tolist(), new))
             far, node = heapq.heappop(front)
             self.hops += 1
             new = [x for x in self.links[node][0] if x not in met]
