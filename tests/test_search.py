@@ -6,6 +6,7 @@ from vectors import asked, blobs, exact, frame, lists, recall
 from vecspark.functions import distance as D
 from vecspark.operators import evaluate, flat, hnsw, hybrid, ivf, kmeans, linalg, mutable, pq
 from vecspark.operators.topk import merged
+from vecspark.queries import QUERIES
 
 
 @pytest.mark.parametrize(("left", "right"), [(1, 1), (6, 4), (31, 127)])
@@ -360,3 +361,22 @@ def test_exhaustive_searches_find_what_no_link_leads_to():
         assert [k for _, k in graph.within(asked_for, radius, 400)] == want[:151]
         run = [k for k in range(400) if len({doc_of[y] for y in want[: k + 1]}) <= 3]
         assert [k for _, k in graph.documents(asked_for, doc_of, 3, 7)] == want[: len(run)]
+
+
+def test_all_pairs(spark, monkeypatch):
+    """The same numbers as distances of columns; zero vectors and no queries at all are taken."""
+    monkeypatch.setattr(flat, "PAIRS", 16)
+    x, q = blobs(60, 8, queries=7)
+    x[3] = 0
+    base, queries = frame(spark, x), asked(spark, q)
+    got = {(r["query_id"], r["vec_id"]): tuple(r)[2:] for r in flat.all_pairs(base, queries).collect()}
+    a, b = F.col("q"), F.col("embedding")
+    want = base.crossJoin(queries).select("query_id", "vec_id", D.inner_product(a, b), D.squared_l2(a, b), D.cosine(a, b)).collect()
+    assert len(got) == 420 and got == {(r["query_id"], r["vec_id"]): tuple(r)[2:] for r in want}
+    assert flat.all_pairs(base, queries.where("false")).count() == flat.all_pairs(base.where("false"), queries).count() == 0
+
+
+def test_pairs_are_not_normalized_one_by_one(spark):
+    """Each vector's length is taken once, not for each pair and element."""
+    plan = QUERIES["pairwise_distance"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "NestedLoop" not in plan

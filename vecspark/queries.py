@@ -198,10 +198,7 @@ def ground_truth_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, queries = _both(spark, sf_dir)
-    a, b = F.col("q"), F.col("embedding")
-    pairs = union([base.crossJoin(F.broadcast(part)) for part in blocks(queries, 8 * 64)])
-    return pairs.select("query_id", "vec_id", F.round(D.inner_product(a, b), 6).alias("ip"), F.round(D.squared_l2(a, b), 6).alias("l2"), F.round(D.cosine(a, b), 6).alias("cosine"))
+    return flat.all_pairs(*_both(spark, sf_dir)).select("query_id", "vec_id", *[F.round(d, 6).alias(d) for d in ("ip", "l2", "cosine")])
 
 
 def _elements(df: DataFrame, *keys: str, vector: str) -> DataFrame:
