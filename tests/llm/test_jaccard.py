@@ -127,3 +127,14 @@ def test_odd_tables(spark):
         assert (by_id[k]["n_shingles"], by_id[k]["n_links"], by_id[k]["component_id"]) == (0, 0, k)
     assert by_id[6]["n_shingles"] == 1
     assert jaccard.join(docs.where("false")).count() == 0
+
+
+def test_blocks_that_are_empty(spark, monkeypatch):
+    """More blocks than sets, as with few very long texts: some blocks have no set, and nothing is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:-1] + [f"x{k}"]) for k in range(30)] + ["quite another text of some words"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in jaccard.join(table(spark, rows), 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+    assert jaccard.block_links([], [np.arange(3, dtype=np.uint64)], 85).shape == (0, 1)

@@ -231,6 +231,8 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 
 def block_links(own: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
     """Which of one list of sets are similar to which of another, by products of incidence matrices over shared shingles."""
+    if not own or not others:  # a block that the hash left empty, as of few sets with very many shingles
+        return np.zeros((len(own), len(others)), bool)
     n, m = np.array([len(x) for x in own]), np.array([len(x) for x in others])
     x, y = np.concatenate(own), np.concatenate(others)
     at_x, at_y = np.repeat(np.arange(len(own)), n), np.repeat(np.arange(len(others)), m)
@@ -348,7 +350,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     distinct = stage(sets.where("n > 0").select("set", "n", "prefix").dropDuplicates(["set"]), "jaccard-prefixes")
     tokens = distinct.select("set", "n", F.posexplode("prefix").alias("rank", "token"))
     shared = stage(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "jaccard-shared")
-    met = tokens.join(small(shared), "token").groupBy("set", "n").agg(F.collect_list(F.struct("rank", "token", "sets")).alias("found"))
+    # shared is never sent to all executors: it grows with the corpus, and its hash table takes many times its files
+    met = tokens.join(shared, "token").groupBy("set", "n").agg(F.collect_list(F.struct("rank", "token", "sets")).alias("found"))
     prefixes = stage(_prefixes(met, percent), "jaccard-chosen")
 
     pairs = stage(_candidates(prefixes, percent), "jaccard-pairs")
