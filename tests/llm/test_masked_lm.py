@@ -161,3 +161,21 @@ def test_large_weights_stay_finite(model):
     flat = 1000 * np.random.default_rng(1).standard_normal(lm.WEIGHTS).astype(np.float32)
     rows = np.array([lm.ROWS] * lm.PAD + [1, 2, 3] + [lm.ROWS] * lm.PAD)
     assert (lm.forward(lm.unpack(flat), model.shares, rows, rows % lm.ROWS, np.arange(3, 6))[2] > 0).all()
+
+
+def test_all_contexts_are_counted(spark, model, monkeypatch):
+    """Every place with two words on either side, in one bucket or many, a few at a time or all at once."""
+    chance = np.random.default_rng(3)
+    tokens = chance.integers(0, lm.BUCKETS, 500)
+    assert lm.contexts(tokens)[0].tolist() == list(range(2, 498))
+    texts = sentences(40, 12) + sentences(2, 12) + [" ".join(f"u{k}" for k in range(50))] * 2
+    docs = lm.tokenize(table(spark, list(enumerate(texts))))
+    found = []
+    for dealt, places in ((1 << 19, 1 << 20), (50, 30)):
+        monkeypatch.setattr(lm, "DEALT", dealt)
+        monkeypatch.setattr(lm, "BUCKET_PLACES", places)
+        found.append({r["doc_id"]: (r["n_tokens"], r["log_prob"]) for r in lm.score(docs, model).collect()})
+    assert found[0] == found[1]
+    # the last text stands twice: at 46 of its 50 places the other copy votes, with (p + 1) / 2
+    probs = plain_probs(model, lm.tokens_of(lm.WordHashes(), texts[-1]))
+    assert np.isclose(found[0][43][1], sum(np.log((p + 1) / 2 if 2 <= k < 48 else p) for k, p in enumerate(probs)), rtol=1e-3)

@@ -17,9 +17,10 @@ on in order of that hash; weights are averaged over shards and everything that
 tasks add up is whole numbers.  So the model is the same however the table is
 partitioned, while the driver only ever holds one model of fixed size.
 
-What a network of fixed size can't hold is which contexts came up before.  Of the
-contexts of four words, those that a hash picks are counted over the corpus, with
-the words that stood in them, in tables that grow with it.  Where a picked context
+What a network of fixed size can't hold is which contexts came up before.  All
+contexts of four words are counted over the corpus, with the words that stood in
+them: places are dealt to buckets by a hash of the context, as many as the corpus
+has millions of tokens, and each bucket is counted by itself.  Where a context
 occurs elsewhere, its other occurrences vote with the network, by their number.
 So a text that occurs twice scores above one of its kind that does not.
 """
@@ -54,8 +55,10 @@ AT_ONCE, TEXTS = 4096, 128
 TOKENS = 12 * AT_ONCE
 #: Tokens of a logical shard, about.
 SHARD_TOKENS = 1 << 20
-#: One of so many contexts is remembered.
-PICKED = 8
+#: Places whose contexts a task deals out at a time, and those in a bucket, about.
+DEALT, BUCKET_PLACES = 1 << 19, 1 << 20
+#: Units of a gain, for sums of whole numbers.
+GAIN = 10**9
 #: Units of the whole numbers that are added up.
 UNIT = 1 << 10
 SHAPES = ((3, ROWS + 1, PARTS), (PARTS,))
@@ -316,21 +319,19 @@ def token_probs(model: Model, tokens: list[np.ndarray]) -> np.ndarray:
 
 
 def contexts(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places with two words on either side whose context is picked, and these contexts (four buckets in one number)."""
+    """Places with two words on either side, and their contexts (four buckets in one number)."""
     if len(tokens) < 5:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     t = tokens.astype(np.uint64)
     around = (t[:-4] << np.uint64(48)) | (t[1:-3] << np.uint64(32)) | (t[3:-1] << np.uint64(16)) | t[4:]
-    at = np.flatnonzero(mixed(around) % np.uint64(PICKED) == 0)
-    return at + 2, around[at].view(np.int64)
+    return np.arange(2, len(tokens) - 2), around.view(np.int64)
 
 
 def network_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """The tokenized documents with ``n_tokens``, ``net`` (the sum over tokens) and ``spots``: ``context, word, prob`` of picked places, in place of ``tokens``."""
+    """The tokenized documents with ``n_tokens``, ``net`` (the sum over tokens) and ``probs`` (of each token, as bytes)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    spot = T.StructType([T.StructField("context", T.LongType()), T.StructField("word", T.IntegerType()), T.StructField("prob", T.FloatType())])
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("net", T.DoubleType()), T.StructField("spots", T.ArrayType(spot))]
-    names = {f.name for f in new} | {"tokens"}
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("net", T.DoubleType()), T.StructField("probs", T.BinaryType())]
+    names = {f.name for f in new}
     schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + new)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,39 +343,112 @@ def network_scores(docs: DataFrame, model: Model) -> DataFrame:
                 n = np.array([len(t) for t in tokens])
                 probs = token_probs(model, tokens)
                 logs = np.bincount(np.repeat(np.arange(len(tokens)), n), np.log(probs), len(tokens)).astype(np.float64)
-                begin, found = np.cumsum(n) - n, [contexts(t) for t in tokens]
-                offsets = np.concatenate([[0], np.cumsum([len(at) for at, _ in found])])
-                cells = [pa.array(np.concatenate([c for _, c in found])), pa.array(np.concatenate([t[at] for t, (at, _) in zip(tokens, found)]).astype(np.int32)), pa.array(np.concatenate([probs[b + at] for b, (at, _) in zip(begin, found)]).astype(np.float32))]
-                spots = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cells, ["context", "word", "prob"]))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in schema.names[:-3]] + [pa.array(n, pa.int64()), pa.array(logs, pa.float64()), spots], schema.names)
+                each = [p.astype("<f4").tobytes() for p in np.split(probs, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in schema.names[:-3]] + [pa.array(n, pa.int64()), pa.array(logs, pa.float64()), pa.array(each, pa.binary())], schema.names)
 
     return docs.transform(in_arrow, compute, schema)
 
 
+#: What is dealt out of a bucket's places, in order of context: the text's place in ``keys``, and the keys of these texts.
+PLACES = {"context": "<i8", "word": "<u2", "prob": "<f4", "text": "<u4", "keys": "<i8"}
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """All places with a context, by ``bucket``, many in a row: the columns of ``PLACES`` as bytes."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+
+        def dealt() -> pa.RecordBatch:
+            keys = np.array([w[0] for w in waiting], np.int64)
+            text = np.repeat(np.arange(len(waiting)), [len(w[1]) for w in waiting])
+            context, word, prob = (np.concatenate([w[k] for w in waiting]) for k in (1, 2, 3))
+            waiting.clear()
+            bucket = (mixed(context.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((context, bucket))
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out: list[tuple] = []
+            for b in np.flatnonzero(np.diff(ends)):
+                at = order[ends[b] : ends[b + 1]]
+                own, index = np.unique(text[at], return_inverse=True)
+                out.append((int(b), *(x.astype(kind).tobytes() for x, kind in zip((context[at], word[at], prob[at], index, keys[own]), PLACES.values()))))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*out))], ["bucket", *PLACES])
+
+        n = 0
+        for batch in batches:
+            for key, tokens, probs in zip(batch.column("key").to_pylist(), batch.column("tokens"), batch.column("probs")):
+                tokens = _read(tokens)
+                at, context = contexts(tokens)
+                if len(at):
+                    waiting.append((key, context, tokens[at], np.frombuffer(probs.as_py(), "<f4")[at]))
+                    n += len(at)
+                if n >= DEALT:
+                    yield dealt()
+                    n = 0
+        if waiting:
+            yield dealt()
+
+    return rows.select("key", "tokens", "probs").transform(in_arrow, deal, "bucket int, " + ", ".join(f"{c} binary" for c in PLACES))
+
+
+def gains(context: np.ndarray, word: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """What votes add to the logarithm at each place, in whole units; all places of their contexts are given."""
+    order = np.lexsort((word, context))
+    c, w, p = context[order], word[order], prob[order].astype(np.float64)
+    other = np.concatenate([[True], c[1:] != c[:-1]])
+    n, m = (np.bincount(at)[at] for at in (np.cumsum(new) - 1 for new in (other, other | np.concatenate([[True], w[1:] != w[:-1]]))))
+    found = np.empty(len(order), np.int64)
+    found[order] = np.rint(GAIN * np.where(n > 1, np.log((p + m - 1) / n) - np.log(p), 0)).astype(np.int64)
+    return found
+
+
+def _voted(dealt: DataFrame) -> DataFrame:
+    """``key, units``: what votes add to texts, in parts that are still to be added up."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+
+        def voted() -> pa.RecordBatch:
+            context, word, prob = (np.concatenate([w[c] for w in waiting]) for c in ("context", "word", "prob"))
+            units, keys = gains(context, word, prob), np.concatenate([w["keys"][w["text"]] for w in waiting])
+            waiting.clear()
+            keys, units = keys[units != 0], units[units != 0]
+            own, index = np.unique(keys, return_inverse=True)
+            sums = np.zeros(len(own), np.int64)
+            np.add.at(sums, index, units)
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sums, pa.int64())], ["key", "units"])
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now and waiting:
+                    yield voted()
+                now = bucket
+                waiting.append({c: np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in PLACES.items()})
+        if waiting:
+            yield voted()
+
+    return dealt.repartition(partitions(dealt.sparkSession), "bucket").sortWithinPartitions("bucket").transform(in_arrow, vote, "key long, units long")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The tokenized documents with ``n_tokens``, ``log_prob`` and ``mean_log_prob`` in place of ``tokens`` and ``key``.
 
-    Where a picked context occurs n times in ``docs``, a word that stands in m of
-    them has probability (p + m - 1) / n there, p being the network's and the
-    place itself not counted.  Null and empty texts have no tokens, log_prob 0
-    and a null mean.  Other columns stay, except ones named like the new ones;
-    rows of equal ids and texts get the same scores, and an empty table gives an
-    empty result.
+    Where a context occurs n times in ``docs``, a word that stands in m of them
+    has probability (p + m - 1) / n there, p being the network's and the place
+    itself not counted.  Places without two words on either side have no
+    context.  Null and empty texts have no tokens, log_prob 0 and a null mean.
+    Other columns stay, except ones named like the new ones; rows of equal texts
+    get the same scores, and an empty table gives an empty result.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "tokens", "key", "n_tokens", "log_prob", "mean_log_prob")]
     docs = docs.select("doc_id", "tokens", "key", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
     rows = stage(network_scores(docs, model), "lm-scores")
-    spots = rows.select("doc_id", "key", F.explode("spots").alias("s")).select("doc_id", "key", "s.*")
-    words = spots.groupBy("context", "word").agg(F.count("*").alias("m"))
-    again = words.groupBy("context").agg(F.sum("m").alias("n"), F.collect_list(F.struct("word", "m")).alias("words")).where("n > 1")  # a word's row each, 65,536 at most
-    again = stage(again.select("context", "n", F.explode("words").alias("w")).select("context", "w.word", "w.m", "n"), "lm-again", few=True)
-    met = spots.join(small(again), ["context", "word"])
-    more = F.log((F.col("prob").cast("double") + F.col("m") - 1) / F.col("n")) - F.log(F.col("prob").cast("double"))
-    copies = rows.groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
-    gained = met.groupBy("doc_id", "key").agg(F.sum(F.round(more, 9).cast("decimal(28,9)")).cast("double").alias("gain")).withColumnsRenamed({"doc_id": "gain_id", "key": "gain_key"})
-    gained = gained.join(copies, F.col("gain_id").eqNullSafe(F.col("doc_id")) & (F.col("gain_key") == F.col("key"))).select("gain_id", "gain_key", (F.col("gain") / F.col("rows")).alias("gain"))
+    places = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    gained = _voted(_dealt(rows, max(1, -(-places // BUCKET_PLACES)))).groupBy("key").agg(F.sum(F.col("units").cast("decimal(38,0)")).cast("double").alias("units"))
+    copies = rows.groupBy("key").agg(F.count("*").alias("rows"))
+    gained = gained.join(copies, "key").select(F.col("key").alias("gain_key"), (F.col("units") / GAIN / F.col("rows")).alias("gain"))
     gained = stage(gained, "lm-gained", few=True)
-    out = rows.join(small(gained), F.col("doc_id").eqNullSafe(F.col("gain_id")) & (F.col("key") == F.col("gain_key")), "left")
+    out = rows.join(small(gained), F.col("key") == F.col("gain_key"), "left")
     log_prob = F.when(F.col("n_tokens") > 0, F.col("net") + F.coalesce("gain", F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", *[F.col("_others")[c].alias(c) for c in others], "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 
