@@ -168,17 +168,29 @@ def train_step(flat: np.ndarray, squares: np.ndarray, shares: np.ndarray, rows:
     wide[at - at[0]] = back
     for place, table in zip(WINDOW, TABLE):
         beside[table, PAD + place : len(near) - PAD + place] += wide
-    tables = [_spread(near, values, ROWS + 1) for values in beside]
-    gradient = np.concatenate([*(t.ravel() for t in tables), back.sum(0)]).astype(np.float32)
-    squares += gradient * gradient
-    flat -= RATE * gradient / (np.sqrt(squares) + np.float32(1e-6))
+    cells = _cells(near)
+    gradient = np.empty_like(flat)
+    for k, values in enumerate(beside):
+        gradient[k * (ROWS + 1) * PARTS : (k + 1) * (ROWS + 1) * PARTS] = np.bincount(cells, values.reshape(-1), (ROWS + 1) * PARTS)
+    gradient[-PARTS:] = back.sum(0)
+    step = gradient * gradient
+    squares += step
+    np.sqrt(squares, out=step)
+    step += np.float32(1e-6)
+    gradient *= np.float32(RATE)
+    gradient /= step
+    flat -= gradient
     return accounts
 
 
+def _cells(rows: np.ndarray) -> np.ndarray:
+    """Places, in a table of ``PARTS`` columns, of the cells of some rows."""
+    return (rows[:, None] * PARTS + np.arange(PARTS)).reshape(-1)
+
+
 def _spread(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """The values, one for each of ``rows``, added up by row."""
-    at = (rows[:, None] * PARTS + np.arange(PARTS)).reshape(-1)
-    return np.bincount(at, values.reshape(-1), size * PARTS).reshape(size, PARTS)
+    return np.bincount(_cells(rows), values.reshape(-1), size * PARTS).reshape(size, PARTS)
 
 
 def train_texts(model: Model, flat: np.ndarray, squares: np.ndarray, parts: np.ndarray, tokens: list[np.ndarray]) -> int:
@@ -349,8 +361,8 @@ def network_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.transform(in_arrow, compute, schema)
 
 
-#: What is dealt out of a bucket's places, in order of context: the text's place in ``keys``, and the keys of these texts.
-PLACES = {"context": "<i8", "word": "<u2", "prob": "<f4", "text": "<u4", "keys": "<i8"}
+#: What is dealt out of a bucket's places, in order of context: its four buckets one after the other, which compresses; the text's place in ``keys``, and the keys of these texts.
+PLACES = {**{f"beside{k}": "<u2" for k in range(4)}, "word": "<u2", "prob": "<f4", "text_low": "<u2", "text_high": "<u2", "keys": "<i8"}
 
 
 def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
@@ -371,7 +383,9 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
             for b in np.flatnonzero(np.diff(ends)):
                 at = order[ends[b] : ends[b + 1]]
                 own, index = np.unique(text[at], return_inverse=True)
-                out.append((int(b), *(x.astype(kind).tobytes() for x, kind in zip((context[at], word[at], prob[at], index, keys[own]), PLACES.values()))))
+                beside = context[at].view(np.uint64)
+                columns = (*(beside >> np.uint64(shift) & np.uint64(BUCKETS - 1) for shift in (48, 32, 16, 0)), word[at], prob[at], index & 0xFFFF, index >> 16, keys[own])
+                out.append((int(b), *(x.astype(kind).tobytes() for x, kind in zip(columns, PLACES.values()))))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*out))], ["bucket", *PLACES])
 
         n = 0
@@ -409,8 +423,9 @@ def _voted(dealt: DataFrame) -> DataFrame:
         now, waiting = None, []
 
         def voted() -> pa.RecordBatch:
-            context, word, prob = (np.concatenate([w[c] for w in waiting]) for c in ("context", "word", "prob"))
-            units, keys = gains(context, word, prob), np.concatenate([w["keys"][w["text"]] for w in waiting])
+            beside, word, prob = [np.concatenate([w[f"beside{k}"] for w in waiting]).astype(np.uint64) for k in range(4)], *(np.concatenate([w[c] for w in waiting]) for c in ("word", "prob"))
+            context = beside[0] << np.uint64(48) | beside[1] << np.uint64(32) | beside[2] << np.uint64(16) | beside[3]
+            units, keys = gains(context, word, prob), np.concatenate([w["keys"][w["text_low"] + (w["text_high"].astype(np.int64) << 16)] for w in waiting])
             waiting.clear()
             keys, units = keys[units != 0], units[units != 0]
             own, index = np.unique(keys, return_inverse=True)
