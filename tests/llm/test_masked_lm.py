@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -179,3 +180,49 @@ def test_all_contexts_are_counted(spark, model, monkeypatch):
     # the last text stands twice: at 46 of its 50 places the other copy votes, with (p + 1) / 2
     probs = plain_probs(model, lm.tokens_of(lm.WordHashes(), texts[-1]))
     assert np.isclose(found[0][43][1], sum(np.log((p + 1) / 2 if 2 <= k < 48 else p) for k, p in enumerate(probs)), rtol=1e-3)
+
+
+def shuffle_files(spark):
+    time.sleep(1)  # they go in the background
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_disk_is_given_back(spark, model, monkeypatch):
+    """Neither training nor counting leaves shuffle files; places are shuffled a quarter at a time; tables on the way go."""
+    monkeypatch.setattr(lm, "BUCKET_PLACES", 100)
+    before, seen = shuffle_files(spark), []
+    dealt = lm._dealt
+
+    def dealing(rows, buckets, turns=1, turn=0):
+        out = dealt(rows, buckets, turns, turn)
+        seen.append((turn, sum(len(r["word"]) // 2 for r in out.collect())))
+        assert shuffle_files(spark) <= before
+        return out
+
+    monkeypatch.setattr(lm, "_dealt", dealing)
+    paths = len(lm.staged())
+    docs = lm.stage(lm.tokenize(table(spark, list(enumerate(sentences(200, 21))))), "lm-tokens")
+    tokens = lm.staged()[paths:]
+    lm.fit(docs)
+    assert shuffle_files(spark) <= before
+    n = sum(max(0, len(lm._read(t)) - 4) for t in docs.select("tokens").toArrow().column(0))
+    before |= shuffle_files(spark)
+    got = lm.score(docs, model, tokens)
+    assert shuffle_files(spark) <= before
+    assert [k for k, _ in seen] == list(range(lm.TURNS)) and sum(m for _, m in seen) == n and max(m for _, m in seen) < n / 2
+    assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in lm.staged()[paths:]] == ["lm-scores", "lm-gained"]
+    assert got.count() == 200
+
+
+def test_a_text_is_given_its_votes_once(spark, model):
+    """However many buckets a text's places lie in, what they give is added up in blocks."""
+    texts = [sentences(1, 31)[0] + f" end{k % 50}" for k in range(300)]
+    rows = lm.network_scores(lm.tokenize(table(spark, list(enumerate(texts)))), model).cache()
+    found = []
+    for buckets in (1, 40):
+        votes = lm._voted(lm._dealt(rows, buckets)).toPandas()
+        assert votes.key.is_unique and len(votes) == 50
+        found.append(dict(zip(votes.key, votes.units)))
+    assert found[0] == found[1]
+    rows.unpersist()

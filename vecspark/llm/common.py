@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,21 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
         _staged.remove(name)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Jobs of tables that are made inside leave no shuffle files: theirs go when they end.
+
+    Else these stay until the driver happens to collect its garbage.
+    """
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def staged_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a staged table, from one listing of each folder."""
     jvm = df.sparkSession.sparkContext._jvm

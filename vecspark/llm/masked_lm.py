@@ -20,15 +20,17 @@ partitioned, while the driver only ever holds one model of fixed size.
 What a network of fixed size can't hold is which contexts came up before.  All
 contexts of four words are counted over the corpus, with the words that stood in
 them: places are dealt to buckets by a hash of the context, as many as the corpus
-has millions of tokens, and each bucket is counted by itself.  Where a context
+has millions of tokens, and each bucket is counted by itself, a quarter of them
+after the other.  Where a context
 occurs elsewhere, its other occurrences vote with the network, by their number.
 So a text that occurs twice scores above one of its kind that does not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added_up, documents, held, in_arrow, in_blocks, partitions, small, stage
+from .common import added_up, cleared, documents, forget, held, in_arrow, in_blocks, partitions, small, stage, staged
 from .simhash import WordHashes, mixed
 
 BUCKETS, PARTS = 1 << 16, 16
@@ -57,12 +59,20 @@ TOKENS = 12 * AT_ONCE
 SHARD_TOKENS = 1 << 20
 #: Places whose contexts a task deals out at a time, and those in a bucket, about.
 DEALT, BUCKET_PLACES = 1 << 19, 1 << 20
+#: Turns in which buckets are counted.
+TURNS = 4
 #: Units of a gain, for sums of whole numbers.
 GAIN = 10**9
+#: Bits of such a sum that are added up apart from those above.
+HIGH = 24
 #: Units of the whole numbers that are added up.
 UNIT = 1 << 10
 SHAPES = ((3, ROWS + 1, PARTS), (PARTS,))
 WEIGHTS = sum(int(np.prod(s)) for s in SHAPES)
+#: Places of the cells of each row in a table.
+CELLS = np.arange((ROWS + 1) * PARTS).reshape(-1, PARTS)
+#: Below this, sums of weights can be exponents as they are.
+EXPONENT = 80
 
 
 def unpack(flat: np.ndarray) -> list[np.ndarray]:
@@ -140,39 +150,53 @@ def forward(weights: list[np.ndarray], shares: np.ndarray, rows: np.ndarray, buc
     """Gates at some places in order, what each component contributes to the token's probability, and that probability.
 
     All rows between the first place and the last are looked up once in each
-    table, then moved to the places that they stand beside.
+    table, then moved to the places that they stand beside.  Whether exponents
+    are taken less the largest follows from the weights alone, so a place's
+    gates don't depend on the others.
     """
     tables, bias = weights
     near = rows[at[0] - PAD : at[-1] + PAD + 1] if len(at) else rows[:0]
-    seen, spot = [table[near] for table in tables], at - at[:1]
+    seen, spot = [_rows_of(table, near) for table in tables], at - at[:1]
     gates = np.repeat(bias[None], max(len(near) - 2 * PAD, 0), 0)
     for place, table in zip(WINDOW, TABLE):
         gates += seen[table][PAD + place : len(near) - PAD + place]
-    gates = gates[spot]
-    gates -= gates.max(1, keepdims=True)
+    gates = _rows_of(gates, spot)
+    largest = [max(table.max(), -table.min()) for table in tables]
+    if not np.abs(bias).max() + sum(largest[table] for table in TABLE) < EXPONENT:
+        gates -= gates.max(1, keepdims=True)
     np.exp(gates, out=gates)
-    gates /= gates.sum(1, keepdims=True)
-    both = gates * shares[buckets[at]]
-    return gates, both, both.sum(1)
+    gates /= np.einsum("ij->i", gates)[:, None]
+    both = gates * _rows_of(shares, buckets[at])
+    return gates, both, np.einsum("ij->i", both)
+
+
+def _rows_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``table[rows]`` for rows that there are."""
+    return np.take(table, rows, 0, mode="clip")  # several times as fast as by index
 
 
 def train_step(flat: np.ndarray, squares: np.ndarray, shares: np.ndarray, rows: np.ndarray, buckets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One step of AdaGrad on minus the mean log-probability of some places; returns how each component accounts for them."""
     weights = unpack(flat)
     gates, both, total = forward(weights, shares, rows, buckets, at)
-    accounts = both / total[:, None]
-    back = (gates - accounts) / np.float32(len(at))
+    accounts = np.divide(both, total[:, None], out=both)
+    back = np.subtract(gates, accounts, out=gates)
+    back /= np.float32(len(at))
     near = rows[at[0] - PAD : at[-1] + PAD + 1]
-    beside = np.zeros((3, len(near), PARTS), np.float32)  # what the places around each row give back to it
     wide = np.zeros((len(near) - 2 * PAD, PARTS), np.float32)
     wide[at - at[0]] = back
-    for place, table in zip(WINDOW, TABLE):
-        beside[table, PAD + place : len(near) - PAD + place] += wide
-    cells = _cells(near)
+    cells = _rows_of(CELLS, near)
     gradient = np.empty_like(flat)
-    for k, values in enumerate(beside):
-        gradient[k * (ROWS + 1) * PARTS : (k + 1) * (ROWS + 1) * PARTS] = np.bincount(cells, values.reshape(-1), (ROWS + 1) * PARTS)
-    gradient[-PARTS:] = back.sum(0)
+    for k in range(len(SHAPES[0])):
+        places = [PAD + place for place, table in zip(WINDOW, TABLE) if table == k]
+        if len(places) == 1:
+            beside, among = wide, cells[places[0] :][: len(wide)]
+        else:
+            beside, among = np.zeros((len(near), PARTS), np.float32), cells  # what the places around each row give back to it
+            for place in places:
+                beside[place:][: len(wide)] += wide
+        gradient[k * CELLS.size : (k + 1) * CELLS.size] = np.bincount(among.reshape(-1), beside.reshape(-1), CELLS.size)
+    gradient[-PARTS:] = np.einsum("ij->j", back)
     step = gradient * gradient
     squares += step
     np.sqrt(squares, out=step)
@@ -183,14 +207,10 @@ def train_step(flat: np.ndarray, squares: np.ndarray, shares: np.ndarray, rows:
     return accounts
 
 
-def _cells(rows: np.ndarray) -> np.ndarray:
-    """Places, in a table of ``PARTS`` columns, of the cells of some rows."""
-    return (rows[:, None] * PARTS + np.arange(PARTS)).reshape(-1)
-
-
 def _spread(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """The values, one for each of ``rows``, added up by row."""
-    return np.bincount(_cells(rows), values.reshape(-1), size * PARTS).reshape(size, PARTS)
+    cells = (rows[:, None] * PARTS + np.arange(PARTS)).reshape(-1)
+    return np.bincount(cells, values.reshape(-1), size * PARTS).reshape(size, PARTS)
 
 
 def train_texts(model: Model, flat: np.ndarray, squares: np.ndarray, parts: np.ndarray, tokens: list[np.ndarray]) -> int:
@@ -204,8 +224,10 @@ def train_texts(model: Model, flat: np.ndarray, squares: np.ndarray, parts: np.n
     for k in range(0, len(at), AT_ONCE):
         accounts[k : k + AT_ONCE] = train_step(flat, squares, model.shares, rows, buckets, at[k : k + AT_ONCE])
     if len(at):
-        seen, place = np.unique(buckets[at], return_inverse=True)
-        parts[seen] += _spread(place, accounts, len(seen))
+        order = np.argsort(buckets[at].astype(np.uint16), kind="stable")  # by their two bytes
+        found = buckets[at][order]
+        new = np.concatenate([[True], found[1:] != found[:-1]])
+        parts[found[new]] += _spread(np.cumsum(new) - 1, _rows_of(accounts, order), np.count_nonzero(new))
     return len(at)
 
 
@@ -231,14 +253,23 @@ def _read(tokens: pa.Scalar) -> np.ndarray:
     return np.frombuffer(tokens.as_py() or b"", "<u2").astype(np.int64)
 
 
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a column of bytes one after the other, and how many each row has."""
+    column = column.fill_null(b"")
+    _, ends, values = column.buffers()
+    if not len(column) or not values:
+        return np.zeros(0, kind), np.zeros(len(column), np.int64)
+    ends = np.frombuffer(ends, "<i8" if pa.types.is_large_binary(column.type) else "<i4")[column.offset :][: len(column) + 1]
+    return np.frombuffer(values, np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
 def corpus_counts(docs: DataFrame) -> np.ndarray:
     """Tokens of all tokenized documents by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                counts += np.bincount(np.concatenate([_read(t) for t in batch.column("tokens").slice(k, 256)]), minlength=BUCKETS)
+            counts += np.bincount(_numbers(batch.column("tokens"), "<u2")[0], minlength=BUCKETS)
         yield in_blocks(counts)
 
     return added_up(docs.select("tokens").transform(in_arrow, count, "block int, values binary"), BUCKETS)
@@ -250,19 +281,16 @@ def beside_counts(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
     column = np.where(rows < BESIDE, rows, BESIDE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROWS * (BESIDE + 1), np.int64)
+        total = np.zeros((ROWS + 1) * (BESIDE + 1), np.int64)  # what is beside padding goes to the last row and column
         for batch in batches:
-            for tokens in batch.column("tokens"):
-                tokens = _read(tokens)
-                own, other = rows[tokens] * (BESIDE + 1), column[tokens]
-                for step in range(1, PAD + 1):
-                    if len(tokens) > step:
-                        for pairs in (own[:-step] + other[step:], own[step:] + other[:-step]):
-                            if len(pairs) > len(total) // 16:
-                                total += np.bincount(pairs, minlength=len(total))
-                            else:
-                                np.add.at(total, pairs, 1)
-        yield in_blocks(total)
+            tokens, n = _numbers(batch.column("tokens"), "<u2")
+            size, at = len(tokens) + PAD * len(n), np.arange(len(tokens)) + PAD * np.repeat(np.arange(len(n)), n)
+            own, other = np.full(size, ROWS * (BESIDE + 1)), np.full(size, BESIDE)
+            own[at], other[at] = rows[tokens] * (BESIDE + 1), column[tokens]
+            for step in range(1, PAD + 1):
+                for pairs in (own[:-step] + other[step:], own[step:] + other[:-step]):
+                    total += np.bincount(pairs, minlength=len(total))
+        yield in_blocks(total[: ROWS * (BESIDE + 1)])
 
     found = added_up(docs.select("tokens").transform(in_arrow, count, "block int, values binary"), ROWS * (BESIDE + 1))
     return found.reshape(ROWS, BESIDE + 1)[:, :BESIDE].astype(np.float64)
@@ -277,6 +305,11 @@ def in_shards(docs: DataFrame, total: int) -> DataFrame:
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """A model of all texts of ``docs`` (doc_id and what ``tokenize`` gives)."""
+    with cleared(docs.sparkSession):
+        return _fitted(docs, rounds)
+
+
+def _fitted(docs: DataFrame, rounds: int) -> Model:
     counts = corpus_counts(docs)
     model = first_model(counts, beside_counts(docs, counts))
     if not counts.sum():
@@ -365,73 +398,106 @@ def network_scores(docs: DataFrame, model: Model) -> DataFrame:
 PLACES = {**{f"beside{k}": "<u2" for k in range(4)}, "word": "<u2", "prob": "<f4", "text_low": "<u2", "text_high": "<u2", "keys": "<i8"}
 
 
-def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
-    """All places with a context, by ``bucket``, many in a row: the columns of ``PLACES`` as bytes."""
+def _dealt(rows: DataFrame, buckets: int, turns: int = 1, turn: int = 0) -> DataFrame:
+    """All places with a context in every ``turns``-th bucket, by ``bucket``, many in a row: the columns of ``PLACES`` as bytes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
+        bits = buckets.bit_length()
 
         def dealt() -> pa.RecordBatch:
-            keys = np.array([w[0] for w in waiting], np.int64)
-            text = np.repeat(np.arange(len(waiting)), [len(w[1]) for w in waiting])
-            context, word, prob = (np.concatenate([w[k] for w in waiting]) for k in (1, 2, 3))
+            texts = np.cumsum([0] + [len(w[0]) for w in waiting])
+            keys, text = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] + first for w, first in zip(waiting, texts)])
+            context, bucket, word, prob = (np.concatenate([w[k] for w in waiting]) for k in (2, 3, 4, 5))
             waiting.clear()
-            bucket = (mixed(context.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((context, bucket))
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.argsort(bucket.astype(np.uint64) << np.uint64(64 - bits) | context >> np.uint64(bits))
+            bucket = bucket[order]
+            begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             out: list[tuple] = []
-            for b in np.flatnonzero(np.diff(ends)):
-                at = order[ends[b] : ends[b + 1]]
-                own, index = np.unique(text[at], return_inverse=True)
-                beside = context[at].view(np.uint64)
-                columns = (*(beside >> np.uint64(shift) & np.uint64(BUCKETS - 1) for shift in (48, 32, 16, 0)), word[at], prob[at], index & 0xFFFF, index >> 16, keys[own])
-                out.append((int(b), *(x.astype(kind).tobytes() for x, kind in zip(columns, PLACES.values()))))
+            for begin, end in zip(begins, [*begins[1:], len(order)]):
+                at = order[begin:end]
+                met = np.zeros(len(keys), bool)
+                met[text[at]] = True
+                index, beside = (np.cumsum(met) - 1)[text[at]], context[at]
+                columns = (*(beside >> np.uint64(shift) & np.uint64(BUCKETS - 1) for shift in (48, 32, 16, 0)), word[at], prob[at], index & 0xFFFF, index >> 16, keys[met])
+                out.append((int(bucket[begin]), *(x.astype(kind).tobytes() for x, kind in zip(columns, PLACES.values()))))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(zip(*out))], ["bucket", *PLACES])
 
         n = 0
         for batch in batches:
-            for key, tokens, probs in zip(batch.column("key").to_pylist(), batch.column("tokens"), batch.column("probs")):
-                tokens = _read(tokens)
-                at, context = contexts(tokens)
-                if len(at):
-                    waiting.append((key, context, tokens[at], np.frombuffer(probs.as_py(), "<f4")[at]))
-                    n += len(at)
-                if n >= DEALT:
-                    yield dealt()
-                    n = 0
+            tokens, sizes = _numbers(batch.column("tokens"), "<u2")
+            at, context = contexts(tokens)
+            text, context = np.repeat(np.arange(len(sizes)), sizes), context.view(np.uint64)
+            bucket = (mixed(context) % np.uint64(buckets)).astype(np.int64)
+            own = np.flatnonzero((text[at - 2] == text[at + 2]) & (bucket % turns == turn))
+            if len(own):
+                at = at[own]
+                waiting.append((batch.column("key").to_numpy(), text[at], context[own], bucket[own], tokens[at], _numbers(batch.column("probs"), "<f4")[0][at]))
+                n += len(own)
+            if n >= DEALT:
+                yield dealt()
+                n = 0
         if waiting:
             yield dealt()
 
     return rows.select("key", "tokens", "probs").transform(in_arrow, deal, "bucket int, " + ", ".join(f"{c} binary" for c in PLACES))
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and number of the run of equal values that each value is in."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    run = np.cumsum(new) - 1
+    return np.bincount(run)[run], run
+
+
 def gains(context: np.ndarray, word: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """What votes add to the logarithm at each place, in whole units; all places of their contexts are given."""
-    order = np.lexsort((word, context))
-    c, w, p = context[order], word[order], prob[order].astype(np.float64)
-    other = np.concatenate([[True], c[1:] != c[:-1]])
-    n, m = (np.bincount(at)[at] for at in (np.cumsum(new) - 1 for new in (other, other | np.concatenate([[True], w[1:] != w[:-1]]))))
-    found = np.empty(len(order), np.int64)
-    found[order] = np.rint(GAIN * np.where(n > 1, np.log((p + m - 1) / n) - np.log(p), 0)).astype(np.int64)
+    order = np.argsort(context)
+    n, run = _runs(context[order])
+    again = np.flatnonzero(n > 1)
+    words = run[again] << 16 | word[order[again]].astype(np.int64)
+    by = np.argsort(words)
+    (m, _), n, at = _runs(words[by]), n[again[by]], order[again[by]]
+    p = prob[at].astype(np.float64)
+    found = np.zeros(len(order), np.int64)
+    found[at] = np.rint(GAIN * (np.log((p + m - 1) / n) - np.log(p))).astype(np.int64)
     return found
 
 
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys in order, and sums of values by key."""
+    own, index = np.unique(keys, return_inverse=True)
+    sums = np.zeros((len(values), len(own)), np.int64)
+    for total, x in zip(sums, values):
+        np.add.at(total, index, x)
+    return own, *sums
+
+
 def _voted(dealt: DataFrame) -> DataFrame:
-    """``key, units``: what votes add to texts, in parts that are still to be added up."""
+    """``key, units``: what votes add to texts, each text once.
+
+    A text's places lie in many buckets, so buckets give keys and sums as bytes,
+    many in a row, by ``part`` of the texts, and each part is added up by itself.
+    """
+    parts = partitions(dealt.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, waiting = None, []
 
         def voted() -> pa.RecordBatch:
-            beside, word, prob = [np.concatenate([w[f"beside{k}"] for w in waiting]).astype(np.uint64) for k in range(4)], *(np.concatenate([w[c] for w in waiting]) for c in ("word", "prob"))
-            context = beside[0] << np.uint64(48) | beside[1] << np.uint64(32) | beside[2] << np.uint64(16) | beside[3]
+            context = np.concatenate([w["beside0"] for w in waiting]).astype(np.uint64)
+            for k in range(1, 4):
+                context = context << np.uint64(16) | np.concatenate([w[f"beside{k}"] for w in waiting])
+            word, prob = (np.concatenate([w[c] for w in waiting]) for c in ("word", "prob"))
             units, keys = gains(context, word, prob), np.concatenate([w["keys"][w["text_low"] + (w["text_high"].astype(np.int64) << 16)] for w in waiting])
             waiting.clear()
-            keys, units = keys[units != 0], units[units != 0]
-            own, index = np.unique(keys, return_inverse=True)
-            sums = np.zeros(len(own), np.int64)
-            np.add.at(sums, index, units)
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sums, pa.int64())], ["key", "units"])
+            keys, sums = _summed(keys[units != 0], units[units != 0])
+            part = (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            own, begins = np.unique(part[order], return_index=True)
+            split = [[p.tobytes() for p in np.split(x[order], begins[1:])][: len(own)] for x in (keys, sums)]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in split)], ["part", "keys", "units"])
 
         for batch in batches:
             for k, bucket in enumerate(batch.column("bucket").to_pylist()):
@@ -442,10 +508,22 @@ def _voted(dealt: DataFrame) -> DataFrame:
         if waiting:
             yield voted()
 
-    return dealt.repartition(partitions(dealt.sparkSession), "bucket").sortWithinPartitions("bucket").transform(in_arrow, vote, "key long, units long")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, waiting, n = (np.zeros(0, np.int64),) * 3, [], 0
+        for batch in batches:
+            keys, units = (_numbers(batch.column(c), "<i8")[0] for c in ("keys", "units"))
+            waiting.append((keys, units >> HIGH, units & (1 << HIGH) - 1))  # a text may have many copies
+            n += len(keys)
+            if n >= DEALT:
+                sums, waiting, n = _summed(*map(np.concatenate, zip(sums, *waiting))), [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _summed(*map(np.concatenate, zip(sums, *waiting)))], ["key", "high", "low"])
+
+    votes = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").transform(in_arrow, vote, "part int, keys binary, units binary")
+    sums = votes.repartition(parts, "part").transform(in_arrow, add, "key long, high long, low long")
+    return sums.select("key", (F.col("high").cast("decimal(28,0)") * F.lit(1 << HIGH).cast("decimal(9,0)") + F.col("low")).cast("decimal(38,0)").alias("units"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, spent: Sequence[str] = ()) -> DataFrame:
     """The tokenized documents with ``n_tokens``, ``log_prob`` and ``mean_log_prob`` in place of ``tokens`` and ``key``.
 
     Where a context occurs n times in ``docs``, a word that stands in m of them
@@ -454,21 +532,33 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     context.  Null and empty texts have no tokens, log_prob 0 and a null mean.
     Other columns stay, except ones named like the new ones; rows of equal texts
     get the same scores, and an empty table gives an empty result.
+
+    Contexts are counted in ``TURNS`` turns, each of which shuffles the places of
+    its buckets only.  Folders named in ``spent`` are removed when the network
+    has read ``docs``.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "tokens", "key", "n_tokens", "log_prob", "mean_log_prob")]
     docs = docs.select("doc_id", "tokens", "key", F.struct(F.lit(0).alias("_"), *others).alias("_others"))
-    rows = stage(network_scores(docs, model), "lm-scores")
-    places = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    gained = _voted(_dealt(rows, max(1, -(-places // BUCKET_PLACES)))).groupBy("key").agg(F.sum(F.col("units").cast("decimal(38,0)")).cast("double").alias("units"))
-    copies = rows.groupBy("key").agg(F.count("*").alias("rows"))
-    gained = gained.join(copies, "key").select(F.col("key").alias("gain_key"), (F.col("units") / GAIN / F.col("rows")).alias("gain"))
-    gained = stage(gained, "lm-gained", few=True)
-    out = rows.join(small(gained), F.col("key") == F.col("gain_key"), "left")
+    with cleared(docs.sparkSession):
+        rows = stage(network_scores(docs, model), "lm-scores")
+        forget(docs.sparkSession, list(spent))
+        places = rows.agg(F.sum("n_tokens")).first()[0] or 0
+        buckets, before = max(1, -(-places // BUCKET_PLACES)), len(staged())
+        turns = min(TURNS, buckets)
+        voted = [stage(_voted(_dealt(rows, buckets, turns, k)), "lm-voted", few=True) for k in range(turns)]
+        gained = reduce(DataFrame.unionByName, voted).groupBy("key").agg(F.sum("units").cast("double").alias("units"))
+        copies = rows.groupBy("key").agg(F.count("*").alias("rows"))
+        gained = gained.join(copies, "key").select(F.col("key").alias("gain_key"), (F.col("units") / GAIN / F.col("rows")).alias("gain"))
+        gained = stage(gained, "lm-gained", few=True)
+        forget(docs.sparkSession, staged()[before:-1])
+        gained = small(gained)
+    out = rows.join(gained, F.col("key") == F.col("gain_key"), "left")
     log_prob = F.when(F.col("n_tokens") > 0, F.col("net") + F.coalesce("gain", F.lit(0.0))).otherwise(0.0)
     return out.select("doc_id", *[F.col("_others")[c].alias(c) for c in others], "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of all documents."""
+    before = len(staged())
     docs = stage(tokenize(documents(spark, sf_dir).select("doc_id", "text")), "lm-tokens")
-    return score(docs, fit(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+    return score(docs, fit(docs), staged()[before:]).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
