@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import importlib.util
 import os
@@ -117,3 +118,14 @@ def test_odd_tables(spark):
     for r in STAGES["ngram_jaccard"](spark, docs, SMALL).select(F.col("doc_id")).collect():
         counts[r["doc_id"]] += 1
     assert counts[1] == 1 and counts[None] == 1
+
+
+def test_encoding_begins_with_java_memory_given_back(spark):
+    docs = table(spark, [(1, "some words to encode")])
+    jvm = spark.sparkContext._jvm
+    grown = [jvm.java.nio.ByteBuffer.allocate(128 << 20) for _ in range(24)]
+    before = jvm.java.lang.Runtime.getRuntime().totalMemory()
+    grown.clear()
+    gc.collect()
+    STAGES["bpe"](spark, docs, SMALL)
+    assert jvm.java.lang.Runtime.getRuntime().totalMemory() < before - (512 << 20)

@@ -137,6 +137,18 @@ def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their Java garbage and return the room to the system.
+
+    A heap that earlier jobs filled stays as large as they left it, and Python
+    workers need their memory beside it.  There are as many tasks as cores, so
+    each executor that is idle gets some; one that is busy may be left out.
+    """
+    n = spark.sparkContext.defaultParallelism
+    collected = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collected.alias("_")).write.format("noop").mode("overwrite").save()
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
